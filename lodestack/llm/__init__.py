@@ -8,5 +8,5 @@ import importlib
 
 from pyspark import cloudpickle
 
-for _name in ("kernels", "session", "repeats", "substring", "suffix", "simhash", "toxicity", "packing", "quality"):
+for _name in ("kernels", "session", "repeats", "substring", "suffix", "simhash", "toxicity", "packing", "quality", "html_extract", "ann"):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))

@@ -94,13 +94,23 @@ def balance(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float =
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
-    """The rows of docs as the mix takes them: a row for each whole copy, and one cut after its words for a partial copy."""
-    columns = docs.columns
-    out = mix(sized(docs.select(F.struct(*columns).alias("row_"), "doc_id", "text", "source")), weights, total, cap)
-    out = out.where("taken > 0").selectExpr("row_", "text", "size", "taken", "explode(sequence(1L, cast(ceil(taken / size) as bigint))) as copy_")
-    cut = "case when copy_ * size <= taken then text else array_join(slice(split(trim(LEADING ' \\t\\n\\u000b\\f\\r' FROM text), '[\\\\x20\\\\x09-\\\\x0D]+'), 1, cast(taken % size as int)), ' ') end"
-    out = out.selectExpr("row_", f"{cut} as text_")
-    kept = [F.col("text_").alias("text") if c == "text" else F.length("text_").cast("bigint").alias(c) if c == "n_chars" else F.col(f"row_.`{c}`").alias(c) for c in columns]
+    """The rows of docs as the mix takes them: a row for each whole copy, and one cut after its words for a partial copy.
+
+    The mix is made on ids and sizes; texts are shuffled once, to meet their numbers of copies. A partial copy's
+    words stand with one space between; a column n_chars is counted anew for it.
+    """
+    key = ["doc_id", "source", "th_"]
+    keyed = docs.withColumn("th_", F.xxhash64("text"))
+    taken = mix(sized(keyed.select(*key, "text")).drop("text"), weights, total, cap).where("taken > 0")
+    numbered = "row_number() over (partition by doc_id, source, th_ order by {})"
+    taken = taken.selectExpr("doc_id as d_", "source as s_", "th_ as t_", "size as size_", "taken as taken_", numbered.format("taken desc") + " as n_")
+    rows = keyed.withColumn("nth_", F.expr(numbered.format("1")))
+    on = F.col("doc_id").eqNullSafe(F.col("d_")) & F.col("source").eqNullSafe(F.col("s_")) & (F.col("th_") == F.col("t_")) & (F.col("nth_") == F.col("n_"))
+    out = rows.join(taken, on).withColumn("copy_", F.expr("explode(sequence(1L, cast(ceil(taken_ / size_) as bigint)))"))
+    whole = "copy_ * size_ <= taken_"
+    cut = f"case when {whole} then text else array_join(slice(array_remove(split(text, r'[\\x20\\x09-\\x0D]+'), ''), 1, cast(taken_ % size_ as int)), ' ') end"
+    out = out.withColumn("text_", F.expr(cut))
+    kept = [F.col("text_").alias(c) if c == "text" else F.expr(f"if({whole}, `{c}`, length(text_))").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*kept)
 
 

@@ -209,15 +209,17 @@ def covered(at: np.ndarray, length: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def repeated_windows(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, spec: Spec, carry: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """docs(doc, th, text), one row per document, and spans(doc, th, ats, blobs): the repeated windows of each.
 
-    A row's key is its id and a hash of its text. A null id counts as larger than all others.
+    A row's key is its id and a hash of its text. A null id counts as larger than all others. Columns to carry
+    stand in a struct ``row`` of docs.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").alias("th"), "text")
-    segments = docs.mapInArrow(_scanner(spec), _SEGMENTS).repartition(partitions(spark), "bucket")
+    row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
+    docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").alias("th"), "text", *row)
+    segments = docs.select("doc", "th", "text").mapInArrow(_scanner(spec), _SEGMENTS).repartition(partitions(spark), "bucket")
     whole = "rows between unbounded preceding and unbounded following"
     same = "partition by bucket, kind, seg order by doc, th, at"
     found = segments.selectExpr(

@@ -63,7 +63,7 @@ def _scan(words: int):
                 hashes += [digest(joined[x:y], 42) for x, y in zip(start[:n].tolist(), stop.tolist())]
                 counts.append(n)
             values = fingerprints(np.array(hashes, np.uint64), np.array(counts, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", "th"])
 
     return scan
 
@@ -140,7 +140,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (bigint), component: fingerprints within 3 bits are linked; component is the smallest id reached.
+    """doc_id, fp (bigint), component, th (a hash of the text): fingerprints within 3 bits are linked; component is the smallest id reached.
 
     docs needs doc_id and text. Null and empty texts have fingerprint 0 and are linked with it like any other.
     Rows of one id are documents of their own. A null id counts as larger than all
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = SHINGLE_WORD
     small_batches(spark)
     n = partitions(spark)
     none = 2**63 - 1
-    prints = materialise(docs.select("doc_id", "text").mapInArrow(_scan(words), "doc_id bigint, fp bigint").withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
+    prints = materialise(docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_scan(words), "doc_id bigint, fp bigint, th bigint").withColumn("doc_id", F.coalesce("doc_id", F.lit(none))))
     reps = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     keys = []
     for i in range(8):
@@ -167,4 +167,12 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = SHINGLE_WORD
     links = dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(bits), "a bigint, b bigint")
     rooted = reps.join(components(links), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
-    return prints.join(named, "fp").select(F.expr(f"nullif(doc_id, {none})").alias("doc_id"), "fp", F.expr(f"nullif(component, {none})").alias("component"))
+    return prints.join(named, "fp").select(F.expr(f"nullif(doc_id, {none})").alias("doc_id"), "fp", F.expr(f"nullif(component, {none})").alias("component"), "th")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The columns of docs, with one document of each component of near duplicates: that of the smallest id, then text hash."""
+    first = near_duplicates(docs).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "th")).alias("least"))
+    first = first.select(F.expr(f"nullif(least.d, {2**63 - 1})").alias("d_"), F.col("least.th").alias("t_"))
+    rows = docs.withColumn("h_", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h_") == F.col("t_")))
+    return rows.dropDuplicates(["doc_id", "h_"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .repeats import Spec, covered, repeated_windows, spans_of
@@ -106,7 +107,7 @@ def judge_windows(length: int):
     return judge
 
 
-def _apply(length: int):
+def _apply(length: int, carried: list[str], whole: bool):
     def apply(batches):
         for b in batches:
             spans = spans_of(b.column(3), b.column(4))
@@ -120,22 +121,37 @@ def _apply(length: int):
                     kept.append(b" ".join([words[i] for i in np.flatnonzero(~out)]).decode())
                 else:
                     gone.append(0)
-                    kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc", "th", "n_words", "n_removed", "kept"])
+                    kept.append(text if whole else b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), *b.columns[5:]], names=["doc", "n_words", "n_removed", "kept", *carried])
 
     return apply
 
 
-def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, gram: int = GRAM_WORDS, whole: bool = False, carry: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept: every word under a window that starts in a document of smaller id is removed.
 
-    docs needs doc_id and text; other columns, whatever their names, are ignored. Words are runs of other
-    than ASCII white space. Null and empty texts have no words and stay empty; texts shorter than the window
-    stay whole. Rows of one id never count against each other, and a null id counts as larger than all
-    others. An empty table gives an empty table. Texts are read whole, of any length.
+    kept joins the other words by one space; with whole, a text that loses nothing is kept as it is. With
+    carry, a struct ``row`` of the document's other columns follows. docs needs doc_id and text; the names of
+    other columns don't matter. Words are runs of other than ASCII white space. Null and empty texts have no
+    words and stay empty; texts shorter than the window stay whole. Rows of one id never count against each
+    other, and a null id counts as larger than all others. An empty table gives an empty table. Texts are read
+    whole, of any length.
     """
     spec = Spec(words=True, length=window, gram=gram, earlier=True, judge=judge_windows(window))
-    rows, spans = repeated_windows(docs, spec)
-    out = rows.join(spans, ["doc", "th"], "left").select("doc", "th", "text", "ats", "blobs")
-    out = out.mapInArrow(_apply(window), "doc bigint, th int, n_words bigint, n_removed bigint, kept string")
-    return out.select(F.expr(f"nullif(doc, {2**63 - 1})").alias("doc_id"), "n_words", "n_removed", "kept")
+    more = [c for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    rows, spans = repeated_windows(docs, spec, more)
+    out = rows.join(spans, ["doc", "th"], "left").select("doc", "th", "text", "ats", "blobs", *(["row"] if more else []))
+    schema = T.StructType([T.StructField("doc", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    if more:
+        schema = schema.add(out.schema["row"])
+    out = out.mapInArrow(_apply(window, ["row"] if more else [], whole), schema)
+    return out.select(F.expr(f"nullif(doc, {2**63 - 1})").alias("doc_id"), "n_words", "n_removed", "kept", *(["row"] if more else []))
+
+
+def without_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+    """The columns of docs, texts without repeated passages; documents of which nothing is left go.
+
+    A column n_chars is counted anew. Texts that lose nothing are not touched.
+    """
+    out = remove_repeated_passages(docs, window, whole=True, carry=True).where("n_removed = 0 or n_removed < n_words")
+    return out.select(*[F.col("doc_id") if c == "doc_id" else F.col("kept").alias(c) if c == "text" else F.expr("if(n_removed = 0, row.n_chars, length(kept))").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

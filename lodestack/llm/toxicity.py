@@ -19,20 +19,42 @@ TERM_BITS = 24
 #: Hashed terms that the model knows: those whose presence tells the labels apart best.
 TERMS = 1024
 RANK = 4
+#: Bytes of the word beginnings that are terms too.
+PREFIXES = range(4, 11)
 
 _SEPARATES = np.ones(256, bool)
 _SEPARATES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
-def hashed_terms(column) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hashed term), each pair once, of the whole texts: lower-cased runs of ASCII letters, digits and other characters."""
+def hashed_terms(column, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hashed term), each pair once, of the whole texts: lower-cased words (ASCII letters, digits and all other
+    characters) and their beginnings of PREFIXES bytes, as stems outlive endings. known: the terms to look for."""
+    shift = np.uint64(64 - TERM_BITS)
+    wanted = None
+    if known is not None:
+        wanted = np.zeros(1 << TERM_BITS, bool)
+        wanted[known] = True
     rows, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j, data, offsets in K.text_slices(column):
+    for i, j, data, offsets in K.text_slices(column, 1 << 20):
         start, end, first = K.word_spans(data, offsets, _SEPARATES)
-        value = (K.word_values(K.lower_ascii(data), start, end) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-        row = np.repeat(np.arange(j - i), np.diff(first))
-        both = np.unique(row << TERM_BITS | value)
-        rows.append((both >> TERM_BITS) + i)
+        row = np.repeat(np.arange(i, j), np.diff(first))
+        roll = K.Rolling(K.BYTE_VALUE[K.lower_ascii(data)])
+        found = []
+        for n in (None, *PREFIXES):
+            if n is None:
+                at, owner, salt = slice(None), row, 1
+                value = roll.spans(start, end)
+            else:
+                at = np.flatnonzero(end - start >= n)
+                owner, salt = row[at], 2
+                value = roll.spans(start[at], start[at] + n)
+            term = (K.mix(value + np.uint64(salt)) >> shift).astype(np.int64)
+            if wanted is not None:
+                hit = wanted[term]
+                owner, term = owner[hit], term[hit]
+            found.append(owner << TERM_BITS | term)
+        both = np.unique(np.concatenate(found))
+        rows.append(both >> TERM_BITS)
         terms.append(both & ((1 << TERM_BITS) - 1))
     return np.concatenate(rows), np.concatenate(terms)
 
@@ -87,14 +109,14 @@ class FactorizationMachine:
 
 
 def telling_terms(labels: np.ndarray, row: np.ndarray, hashed: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """Terms whose presence differs most between the labels (chi-square above 15), sorted."""
+    """Terms whose presence differs most between the labels (chi-square above 40), sorted."""
     terms, inverse = np.unique(hashed, return_inverse=True)
     n, p = len(labels), labels.mean() if len(labels) else 0.0
     df = np.bincount(inverse, minlength=len(terms)).astype(float)
     hit = np.bincount(inverse, labels[row], len(terms))
     gap = hit - p * df
     chi = gap**2 / np.maximum(p * (1 - p) * df * (1 - df / max(1, n)), 1e-12)
-    chosen = np.flatnonzero((chi > 15) & (df >= 3) & (df < n))
+    chosen = np.flatnonzero((chi > 40) & (df >= 3) & (df < n))
     return np.sort(terms[chosen[np.argsort(-chi[chosen], kind="stable")[:most]]])
 
 
@@ -134,7 +156,7 @@ def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            margin, _ = model.margin(b.num_rows, *model.features(*hashed_terms(b.column(1))))
+            margin, _ = model.margin(b.num_rows, *model.features(*hashed_terms(b.column(1), model.terms)))
             value = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -161,7 +183,7 @@ def flag_toxic(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
     def scan(batches):
         for b in batches:
-            margin, _ = model.margin(b.num_rows, *model.features(*hashed_terms(b.column(1))))
+            margin, _ = model.margin(b.num_rows, *model.features(*hashed_terms(b.column(1), model.terms)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -35, 35))))], names=["row", "score"])
 
     small_batches(docs.sparkSession)
