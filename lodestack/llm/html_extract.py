@@ -6,10 +6,14 @@ what differs in text only is a slot, a group that stands once where another page
 group. Streams that fold alike are counted, not kept, so what a host's wrapper is made of grows with the
 variety of its pages and not with their number; it is also made in parts, which are aligned in turn.
 
-Each slot of a wrapper has a place (its open elements) and, over all pages of the host, an amount of text and of
-link text. They choose the element that holds the article, and the slots in it that are part of it.
+Each slot of a wrapper has a place (its open elements; names that are a page's own are left out of it) and, over
+all pages of the host, an amount of text. A slot is furniture if its text is the same on all pages of the host that
+have it, where they are enough to tell. The slots with text of their own choose the element that holds the article,
+and a page's text counts where the wrapper has a slot that is part of it. Elements and names that stand for
+furniture are left out as well; on a host of one or two pages they are all there is to go by.
 """
 
+import hashlib
 import html as entities
 import json
 import re
@@ -25,6 +29,8 @@ from .session import small_batches
 PARTS = 16
 #: Tokens of a repeated group at most.
 GROUP = 16
+#: Different pages that a slot of one text must be on to be furniture; also half of the host's pages.
+TELLING = 3
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -36,9 +42,22 @@ BLOCKS_P = frozenset("address article aside blockquote div dl fieldset footer fo
 #: Elements and names of what is not an article.
 OUTSIDE = frozenset("head title nav header footer aside form button select iframe menu dialog figcaption".split())
 OUTSIDE_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|comments?|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|social|share|sharing|related|widget|toolbar|pagination|pager|login|search)(?:$|[\s_-])", re.I)
+#: Classes and ids that are a page's own: numbered ones, and the topics that content systems put on an article.
+OWN_NAME = re.compile(r"\d|^(?:category|tag|author)-", re.I)
 ARTICLE_NAMED = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])", re.I)
 
 
+def element_name(tag: str, attributes: str | None) -> str:
+    """A tag with its classes, ids and roles, less those that are a page's own."""
+    kept = []
+    for kind, value in NAMED.findall(attributes) if attributes else ():
+        value = value.strip("\"'")
+        if kind.lower() == "id" and not (OUTSIDE_NAMED.search(value) or ARTICLE_NAMED.search(value)):
+            continue
+        kept += [x for x in value.split() if not OWN_NAME.search(x)]
+    return f"{tag}.{' '.join(kept)}" if kept else tag
+
+
 def stream(page: str):
     """Yields (tag, place, text, line break) of a page: a tag, or (None) text at the place of its open elements."""
     open_, names, at = [], [], 0
@@ -62,11 +81,7 @@ def stream(page: str):
         closes = CLOSES.get(tag, {"p"} if tag in BLOCKS_P else None)
         while closes and open_ and (open_[-1] in closes or open_[-1] in INLINE and any(x in closes for x in open_[-4:])):
             close(len(open_) - 1)
-        name = tag
-        if m[4]:
-            named = " ".join(x[1].strip("\"'") for x in NAMED.findall(m[4]))
-            if named:
-                name = f"{tag}.{SPACE.sub(' ', named).strip()}"
+        name = element_name(tag, m[4])
         if tag in VOID or m[4] and m[4].endswith("/"):
             yield name, names, "", tag not in INLINE
             continue
@@ -82,7 +97,7 @@ def place(names) -> str:
     return "/".join(x for x in names if x.split(".")[0] not in INLINE or x.split(".")[0] == "a")
 
 
-# Items of a stream or wrapper: (kind, value, optional); kinds are "t" a tag, "#" a slot, "+" a repeated group.
+# Items of a stream or wrapper: (kind, value, optional); kinds are "t" a tag, "#" a slot (its place), "+" a repeated group.
 
 
 def key(item):
@@ -172,20 +187,14 @@ def regular_expression(items) -> str:
     return "".join(f"({x})?" if opt else x for x, opt in ((text[k](v), o) for k, v, o in items))
 
 
-def slots(items, open_=None) -> list[str]:
+def slots(items) -> list[str]:
     """Places of a wrapper's slots."""
-    open_, out = [] if open_ is None else open_, []
+    out = []
     for kind, value, _ in items:
         if kind == "+":
-            out += slots(value, open_)
+            out += slots(value)
         elif kind == "#":
-            out.append(place(open_))
-        elif value[0] == "/":
-            tags = [x.split(".")[0] for x in open_]
-            if value[1:] in tags:
-                del open_[len(tags) - 1 - tags[::-1].index(value[1:]) :]
-        elif value.split(".")[0] not in VOID:
-            open_.append(value)
+            out.append(value)
     return out
 
 
@@ -199,8 +208,8 @@ def outside(where: str) -> bool:
 
 
 def article_places(places: dict[str, tuple[int, int]]) -> tuple[str, list[str]]:
-    """The element that holds the article, and the places that are part of it, of (characters, in links) by place."""
-    inside = {p: n for p, (n, _) in places.items() if not outside(p)}
+    """The element that holds the article, and the places that are part of it, of (characters, those of furniture) by place."""
+    inside = {p: n - same for p, (n, same) in places.items() if n > same and not outside(p)}
     total = sum(inside.values())
     if not total:
         return "", []
@@ -221,24 +230,29 @@ def article_places(places: dict[str, tuple[int, int]]) -> tuple[str, list[str]]:
 
 
 def observe(page: str):
-    """A page's folded stream and the characters of text by place, all and in links."""
-    items, places = [], {}
+    """A page's folded stream and the characters of text by place."""
+    items, texts = _observe(page)
+    return items, {p: sum(map(len, parts)) for p, parts in texts.items()}
+
+
+def _observe(page: str):
+    """A page's folded stream and its texts by place."""
+    items, texts = [], {}
     for tag, names, text, _ in stream(page):
         if tag:
             items.append(("t", tag, False))
-        else:
-            n = len(text.strip(" \t\n\r\f\v"))
-            if n:
-                if not items or items[-1][0] != "#":
-                    items.append(("#", "", False))
-                p = place(names)
-                places[p] = places.get(p, 0) + n
-    return fold(items), places
-
-
-def extract(page: str, root: str, allowed: frozenset) -> str:
-    """The article's blocks in page order. Places that the wrapper lacks count if they lie in the article's element;
-    in a page without that element, all that is not outside counts."""
+            continue
+        text = text.strip(" \t\n\r\f\v")
+        if text:
+            p = place(names)
+            if not items or items[-1] != ("#", p, False):
+                items.append(("#", p, False))
+            texts.setdefault(p, []).append(text)
+    return fold(items), texts
+
+
+def extract(page: str, root: str, allowed: frozenset, rest: frozenset = frozenset()) -> str:
+    """The text of the allowed slots in page order; in a page without the article's element, that of the slots in rest."""
     out, verdicts, last, seen = [], {}, root.rpartition("/")[2], not root
     for tag, names, text, breaks in stream(page):
         if tag:
@@ -249,13 +263,13 @@ def extract(page: str, root: str, allowed: frozenset) -> str:
         p = place(names)
         ok = verdicts.get(p)
         if ok is None:
-            ok = verdicts[p] = p in allowed or (not outside(p) and (not root or p == root or p.startswith(root + "/")))
+            ok = verdicts[p] = p in allowed
         if ok:
             out.append(entities.unescape(text))
         elif text.strip():
             out.append(" ")
     if not seen:
-        return extract(page, "", frozenset())
+        return extract(page, "", rest)
     return SPACE.sub(" ", "".join(out)).strip(" ")
 
 
@@ -267,16 +281,29 @@ def _items(x) -> list:
     return [(k, tuple(_items(v)) if k == "+" else v, o) for k, v, o in x]
 
 
+_SEEN = "host string, kind string, value string, n bigint, pages bigint, least bigint, most bigint, apart bigint"
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _observer(batches):
+    """Streams and places of each host; a place has its characters, its pages, the least and greatest hash of its text on
+    a page, and a bit for each of 64 classes of those pages' whole texts: at least so many of them are different."""
     for b in batches:
         seen: dict[tuple, list] = {}
         for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            items, places = observe(page or "")
-            seen.setdefault((host, "stream", json.dumps([_plain(x) for x in items])), [0])[0] += 1
-            for p, n in places.items():
-                seen.setdefault((host, "place", p), [0])[0] += n
-        rows = [(*k, v[0]) for k, v in seen.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["host", "kind", "value", "n"])
+            items, texts = _observe(page or "")
+            seen.setdefault((host, "stream", json.dumps([_plain(x) for x in items])), [0, 0, 0, 0, 0])[0] += 1
+            digests = {p: _digest("\0".join(parts)) for p, parts in texts.items()}
+            bit = 1 << sum(digests.values()) % 63
+            for p, parts in texts.items():
+                at, h = seen.setdefault((host, "place", p), [0, 0, digests[p], digests[p], 0]), digests[p]
+                at[:] = at[0] + sum(map(len, parts)), at[1] + 1, min(at[2], h), max(at[3], h), at[4] | bit
+            seen.setdefault((host, "pages", ""), [0, 0, 0, 0, 0])[1] += 1
+        rows = [(*k, *v) for k, v in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i < 3 else pa.int64()) for i in range(8)], names=[x.split()[0] for x in _SEEN.split(", ")])
 
 
 def _merged(streams) -> str:
@@ -287,34 +314,47 @@ def _merged(streams) -> str:
     return json.dumps([_plain(x) for x in wrapper or []])
 
 
+def verdict(items: list, places: dict[str, tuple], pages: int) -> tuple[str, list[str], list[str]]:
+    """The article's element, the wrapper's slots that are part of it, and those that count on a page without it, of
+    (characters, pages, least and greatest hash, bits) by place and the host's number of pages."""
+    have = set(slots(items))
+    same = {p for p, (_, on, least, most, bits) in places.items() if least == most and bits.bit_count() >= TELLING and 2 * on >= pages}
+    if all(p in same or outside(p) for p in have):
+        same = set()  # the pages differ in furniture only: their text does not tell it from the article
+    known = {p: (n, n if p in same else 0) for p, (n, *_) in places.items() if p in have}
+    root, allowed = article_places(known)
+    return root, allowed, sorted(p for p in known if p not in same and not outside(p))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (its regular expression), root and places of its article, of pages(host, html)."""
-    seen = pages.select("host", "html").mapInArrow(_observer, "host string, kind string, value string, n bigint").groupBy("host", "kind", "value").agg(F.sum("n").alias("n"))
+    """host, wrapper (its regular expression), root, places of its article and of pages without the root, of pages(host, html)."""
+    seen = pages.select("host", "html").mapInArrow(_observer, _SEEN).groupBy("host", "kind", "value")
+    seen = seen.agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("apart").alias("apart"))
 
     def part(pdf):
-        return pd.DataFrame({"host": pdf.host[:1], "kind": "stream", "value": [_merged(pdf.value)], "n": [pdf.n.sum()]})
+        return pd.DataFrame({"host": pdf.host[:1], "kind": "stream", "value": [_merged(pdf.value)], "n": [pdf.n.sum()], "pages": 0, "least": 0, "most": 0, "apart": 0})
 
     def whole(pdf):
         items = _items(json.loads(_merged(pdf.value[pdf.kind == "stream"])))
         known = pdf[pdf.kind == "place"]
-        root, places = article_places({p: (n, 0) for p, n in zip(known.value, known.n)})
-        have = set(slots(items))
-        return pd.DataFrame({"host": pdf.host[:1], "wrapper": [regular_expression(items)], "root": [root], "places": [json.dumps([p for p in places if p in have] or places)]})
+        places = {p: x for p, *x in zip(known.value, *(known[c].tolist() for c in ("n", "pages", "least", "most", "apart")))}
+        root, inside, rest = verdict(items, places, int(pdf.pages[pdf.kind == "pages"].sum()))
+        return pd.DataFrame({"host": pdf.host[:1], "wrapper": [regular_expression(items)], "root": [root], "places": [json.dumps([inside, rest])]})
 
     parts = seen.where("kind = 'stream'").withColumn("part", F.expr(f"pmod(xxhash64(value), {PARTS})"))
-    parts = parts.groupBy("host", "part").applyInPandas(lambda pdf: part(pdf), "host string, kind string, value string, n bigint")
-    return parts.unionByName(seen.where("kind = 'place'")).groupBy("host").applyInPandas(lambda pdf: whole(pdf), "host string, wrapper string, root string, places string")
+    parts = parts.groupBy("host", "part").applyInPandas(lambda pdf: part(pdf), _SEEN)
+    return parts.unionByName(seen.where("kind <> 'stream'")).groupBy("host").applyInPandas(lambda pdf: whole(pdf), "host string, wrapper string, root string, places string")
 
 
 def _extractor(batches):
-    known: dict[str, frozenset] = {}
+    known: dict[str, list[frozenset]] = {}
     for b in batches:
         ids, urls = b.column(0), b.column(1)
         texts = []
         for page, root, places in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
             if places not in known:
-                known[places] = frozenset(json.loads(places or "[]"))
-            texts.append(extract(page or "", root or "", known[places]))
+                known[places] = [frozenset(x) for x in json.loads(places)]
+            texts.append(extract(page or "", root or "", *known[places]))
         yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

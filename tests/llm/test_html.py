@@ -53,3 +53,18 @@ def test_odd_rows(spark):
     assert sorted(str(i) for i, _ in got) == sorted(str(r[0]) for r in rows)
     assert dict(got)[3] == "plain & bold" and dict(got)[1] == dict(got)[2] == "" and dict(got)[4] == " ".join(["word"] * 3000)
     assert H.main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_wrapper_decides(spark):
+    """Text that all pages of a host share is furniture under any name, and ids of single pages hide no article."""
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    page = '<body><div class="zq7"><p>Our great offers for you, read on every page, again and again</p></div><article id="post-{i}"><h1>On {w}</h1><p>{w} is here<p>and <em>more</em> {w}<div class="kx">Print this page</div></article><div class="qq">{w} elsewhere</div></body>'
+    rows = [(i, f"http://h.x/{i}", page.format(i=i, w=w)) for i, w in enumerate(words)]
+    rows += [(9, "http://one.x/1", page.format(i=9, w="zeta"))]  # a page alone tells nothing of its slots
+    rows += [(20 + i, f"http://copies.x/{i}", page.format(i=1, w="eta")) for i in range(4)]  # nor do copies
+    rows += [(30 + i, f"http://none.x/{i}", f'<div class="zq7">Our offers</div><p>only {w}</p>') for i, w in enumerate(words)]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [f"On {w} {w} is here and more {w}" for w in words]
+    assert got[9] == "On zeta zeta is here and more zeta Print this page"
+    assert {got[20 + i] for i in range(4)} == {"On eta eta is here and more eta Print this page"}
+    assert [got[30 + i] for i in range(5)] == [f"only {w}" for w in words]
