@@ -40,20 +40,25 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 BLOCKS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 #: Elements and names of what is not an article.
-OUTSIDE = frozenset("head title nav header footer aside form button select iframe menu dialog figcaption".split())
-OUTSIDE_NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|comments?|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|social|share|sharing|related|widget|toolbar|pagination|pager|login|search)(?:$|[\s_-])", re.I)
+OUTSIDE = frozenset("head title nav header footer aside form button select iframe menu dialog".split())
+OUTSIDE_NAMED = re.compile(r"(?:^|[\s_#-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|aside|footer|header|comments?|respond|disqus|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|social|share|sharing|related|widget|toolbar|pagination|pager|login|search)(?:$|[\s_-])", re.I)
+#: In an article only whole classes and roles tell, as its own parts have names such as post-header, and ids are slugs.
+OUTSIDE_WHOLE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comments respond disqus cookie cookies consent gdpr popup modal newsletter subscribe social share sharing related widget toolbar pagination pager login search "
+    "ad-box ad-container ad-slot related-posts related-articles related-links share-buttons share-links social-links social-share cookie-notice cookie-banner newsletter-signup post-navigation".split()
+)
 #: Classes and ids that are a page's own: numbered ones, and the topics that content systems put on an article.
 OWN_NAME = re.compile(r"\d|^(?:category|tag|author)-", re.I)
-ARTICLE_NAMED = re.compile(r"(?:^|[\s_-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])", re.I)
+ARTICLE_NAMED = re.compile(r"(?:^|[\s_#-])(?:article|main|content|post|entry|story|body)(?:$|[\s_-])", re.I)
 
 
 def element_name(tag: str, attributes: str | None) -> str:
-    """A tag with its classes, ids and roles, less those that are a page's own."""
+    """A tag with its classes, ids (#id) and roles, less those that are a page's own."""
     kept = []
     for kind, value in NAMED.findall(attributes) if attributes else ():
         value = value.strip("\"'")
-        if kind.lower() == "id" and not (OUTSIDE_NAMED.search(value) or ARTICLE_NAMED.search(value)):
-            continue
+        if kind.lower() == "id":
+            value = "#" + value.strip() if OUTSIDE_NAMED.search(value) or ARTICLE_NAMED.search(value) else ""
         kept += [x for x in value.split() if not OWN_NAME.search(x)]
     return f"{tag}.{' '.join(kept)}" if kept else tag
 
@@ -198,12 +203,18 @@ def slots(items) -> list[str]:
     return out
 
 
-def outside(where: str) -> bool:
-    """Whether a place lies in something that is not part of an article."""
-    for x in where.split("/"):
+def outside(where: str, article: str = "") -> bool:
+    """Whether a place lies in something that is not part of an article. In an article element, and in the place
+    article, names count only if they are whole classes or roles."""
+    inside, depth = False, article.count("/") + 1 if article and (where + "/").startswith(article + "/") else 0
+    for k, x in enumerate(where.split("/")):
         tag, _, named = x.partition(".")
-        if tag in OUTSIDE or named and tag not in ("html", "body", "article", "main") and OUTSIDE_NAMED.search(named):
+        if tag in OUTSIDE:
             return True
+        if named and tag not in ("html", "body", "article", "main"):
+            if any(n.lower() in OUTSIDE_WHOLE for n in named.split()) if inside or depth and k >= depth else OUTSIDE_NAMED.search(named):
+                return True
+        inside = inside or tag == "article"
     return False
 
 
@@ -222,11 +233,14 @@ def article_places(places: dict[str, tuple[int, int]]) -> tuple[str, list[str]]:
 
     def marked(root):
         tag, _, named = root.rpartition("/")[2].partition(".")
-        return tag in ("article", "main") or bool(named and ARTICLE_NAMED.search(named))
+        return tag in ("article", "main") or bool(named and tag not in ("html", "body") and ARTICLE_NAMED.search(named))
 
     good = [r for r in held if marked(r) and held[r] >= 0.2 * total] or [r for r in held if held[r] >= 0.8 * total and r.rpartition("/")[2].split(".")[0] not in ("p", "b", "a", "h1", "li", "ul")]
     root = max(good, key=lambda r: (held[r], r.rpartition("/")[2].startswith(("article", "main")), r.count("/"))) if good else ""
-    return root, sorted(p for p in inside if not root or p == root or p.startswith(root + "/"))
+    under = [p for p, (n, same) in places.items() if n > same and (not root or p == root or p.startswith(root + "/"))]
+    # An element that holds article elements, or that no name marks, has other things in it too.
+    article = root if root and marked(root) and not any(x.split(".")[0] == "article" for p in under for x in p[len(root) + 1 :].split("/")) else ""
+    return root, sorted(p for p in under if not outside(p, article))
 
 
 def observe(page: str):

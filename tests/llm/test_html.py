@@ -68,3 +68,12 @@ def test_wrapper_decides(spark):
     assert got[9] == "On zeta zeta is here and more zeta Print this page"
     assert {got[20 + i] for i in range(4)} == {"On eta eta is here and more eta Print this page"}
     assert [got[30 + i] for i in range(5)] == [f"only {w}" for w in words]
+
+
+def test_article_parts_stay():
+    """Captions, slugs of headings and sections, and names of an article's own parts are no furniture."""
+    body = '<div class="post-header"><p>By A</p></div><h2 id="related-work">Related work</h2><h2 id=search>Search</h2><section id="social-effects"><p>Effects</p></section><figure><img src=x><figcaption>A figure</figcaption></figure><p>The end</p><div class="related-posts"><p>More</p></div>'
+    for page in (HEAD + f'<div class="menu-box">x</div><article>{body}</article><div class="share-box">y</div>', HEAD + f'<div class="menu-box">x</div><div class="post-content">{body}</div><div id="site-comments">y</div>'):
+        _, places = H.observe(page)
+        root, allowed = H.article_places({p: (n, 0) for p, n in places.items()})
+        assert H.extract(page, root, frozenset(allowed)) == "By A Related work Search Effects A figure The end"
