@@ -140,11 +140,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (bigint), component, th (a hash of the text): fingerprints within 3 bits are linked; component is the smallest id reached.
+    """doc_id, fp (bigint), component, th (a hash of the text), root: fingerprints within 3 bits are linked; component is the smallest
+    id reached, and root the component's own name, a fingerprint of it.
 
     docs needs doc_id and text. Null and empty texts have fingerprint 0 and are linked with it like any other.
     Rows of one id are documents of their own. A null id counts as larger than all
-    others, and a component of null ids alone is null.
+    others, and a component of null ids alone is null: ids do not tell components apart, root does.
     An empty table gives an empty table.
     """
     if bits != BITS:
@@ -166,13 +167,13 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = SHINGLE_WORD
     dealt = dealt.selectExpr("key", "cast(least(own, other) as bigint) * blocks + greatest(own, other) as pair", "fp")
     links = dealt.repartition(n, "key", "pair").sortWithinPartitions("key", "pair").mapInArrow(_linker(bits), "a bigint, b bigint")
     rooted = reps.join(components(links), F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component")
-    return prints.join(named, "fp").select(F.expr(f"nullif(doc_id, {none})").alias("doc_id"), "fp", F.expr(f"nullif(component, {none})").alias("component"), "th")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component")), "root").select("fp", "component", "root")
+    return prints.join(named, "fp").select(F.expr(f"nullif(doc_id, {none})").alias("doc_id"), "fp", F.expr(f"nullif(component, {none})").alias("component"), "th", "root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The columns of docs, with one document of each component of near duplicates: that of the smallest id, then text hash."""
-    first = near_duplicates(docs).groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "th")).alias("least"))
+    first = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "th")).alias("least"))
     first = first.select(F.expr(f"nullif(least.d, {2**63 - 1})").alias("d_"), F.col("least.th").alias("t_"))
     rows = docs.withColumn("h_", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h_") == F.col("t_")))
     return rows.dropDuplicates(["doc_id", "h_"]).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -59,3 +59,19 @@ def test_odd_rows(spark, odd, none):
 
 def test_run(spark):
     assert C.run(spark, SF).select("doc_id", "start", "length", "sequence_id", "offset").count() > 0
+
+
+def test_null_and_repeated_ids(spark):
+    """Components are told apart by their texts: ids may be null, or stand for several documents."""
+    topics = ["river stone bridge water", "engine piston valve crank", "violin cello flute oboe", "wheat barley oats rye"]
+    texts = [" ".join(f"{w}{k}" for k in range(20) for w in t.split()) for t in topics]
+    rows = [(i, t, "en", "a", len(t)) for i, t in zip((None, None, 7, 7), texts)] + [(None, texts[0], "en", "b", 1), (9, texts[2], "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    root = linked(sorted({fingerprint(r[1]) for r in rows}), lambda a, b: (a ^ b).bit_count() <= 3)
+    least = {}
+    for i, t, *_ in rows:
+        r = root[fingerprint(t)]
+        least[r] = min(least.get(r, (2**63, t)), (2**63 - 1 if i is None else i, t))
+    assert len(least) == 4
+    got = sorted((2**63 - 1 if r.doc_id is None else r.doc_id, r.text) for r in C.near_duplicates(spark, docs, SF).collect())
+    assert got == sorted(least.values())
