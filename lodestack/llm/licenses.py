@@ -2,8 +2,10 @@
 
 Every word 3-gram of every text is hashed and joined with the positions of all templates' 3-grams. A match at
 word i of position j votes for the diagonal i - j of that template; neighbouring diagonals (a few words put in
-or left out) are merged, and a merged span is accepted if it holds enough distinct positions of the template
-within a length that fits it. Words are split, exploded, hashed and joined within one stage, so only matches
+or left out) are merged. Every merged span is then verified: the words where the whole template would lie are
+held against it by word edits, and the words that tell a license's variant and version must stand there as they are.
+Of overlapping spans with different labels the one with the smaller share of edits stays. Words are split,
+exploded, hashed and joined within one stage, so only matches
 and one row a document are shuffled.
 """
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 GRAM = 3
 #: Diagonals up to this far apart are one span.
 SLACK = 4
-#: Share of a template's 3-grams that an accepted span holds.
+#: Share of a template's 3-grams that the SQL form accepts, and of its words that a verified span leaves unedited.
 ACCEPT = 0.7
 
 #: Base phrases: every place counts.
@@ -37,6 +39,14 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 ]
 
+#: Words that an accepted span of a template holds one after the other, if the template has them.
+KEYS = [
+    "mit license", "apache license version 2", "gnu general public license", "gnu lesser general public license", "version 3", "gnu general public license version 3",
+    "gnu general public license version 2", "gnu lesser general public license version 3", "cc by nc", "cc by sa", "creative commons attribution", "mozilla public license v 2",
+]
+#: Words that make another license of it if they follow a key that ends in a word.
+VARIANTS = ["nc", "sa", "nd", "non", "no", "noncommercial", "sharealike", "share", "noderivatives", "noderivs"]
+
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,6 +61,19 @@ def template_rows(base=BASE, templates=TEMPLATES) -> list[tuple[int, str, bool,
     return out
 
 
+def verified_rows(base=BASE, templates=TEMPLATES) -> list[tuple[int, int, str, str, str, str]]:
+    """(template, its words, those as letters, the letter of each word, its keys as letters, separated by spaces)."""
+    out = []
+    for t, (_, text) in enumerate(templates, len(base)):
+        words = text.split()
+        letter = {w: chr(0x4E00 + k) for k, w in enumerate(dict.fromkeys(words))}
+        code = "".join(letter[w] for w in words)
+        letter |= {w: "!" for w in VARIANTS if w not in letter}
+        keys = [k for k in KEYS if f" {k} " in f" {text} "]
+        out.append((t, len(words), code, " ".join(f"{w}:{c}" for w, c in letter.items()), " ".join("".join(letter[w] for w in k.split()) for k in keys)))
+    return out
+
+
 def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
 
@@ -58,7 +81,7 @@ def _values(rows) -> str:
 def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans for each row of docs(doc_id, text).
 
-    spans: (label, first, last word, share of the template held) of what the method accepted. Labels are
+    spans: (label, first, last word, share of the template's 3-grams held) of what the method accepted. Labels are
     distinct, sorted, comma-joined, empty if none; score is 1 with a base place, else the best accepted share,
     else 0. Null and empty texts have no words. Repeated rows and null ids give a row each; extra columns are
     ignored; an empty table gives an empty table. Texts are read whole.
@@ -66,6 +89,7 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     grams = spark.sql(f"SELECT t, label, is_base, grams, j, xxhash64(a, b, c) AS h, phrase FROM VALUES {_values(template_rows(base, templates))} AS x(t, label, is_base, grams, j, a, b, c, phrase)")
     words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.expr(f"array_remove(split(lower(coalesce(text, '')), r'{_SEPARATORS}'), '')").alias("words"))
+    checks = spark.sql(f"SELECT t AS vt, n_t, code, str_to_map(letters, ' ', ':') AS letters, filter(split(keys, ' '), x -> x <> '') AS keys FROM VALUES {_values(verified_rows(base, templates))} AS x(t, n_t, code, letters, keys)")
     longest = max(len(p.split()) for p in base)
     each = words.selectExpr("rid", "doc_id", "words", "posexplode_outer(words) as (i, w)")
     each = each.selectExpr("rid", "doc_id", "words", "coalesce(i, 0) as i", "if(i + 2 < size(words), xxhash64(w, get(words, i + 1), get(words, i + 2)), null) as g")
@@ -73,15 +97,26 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     hits = hits.where("i = 0 or (h is not null and (not is_base or startswith(array_join(slice(words, i + 1, " + str(longest) + "), ' ') || ' ', phrase || ' ')))")
     # A first word may be kept for its document alone: then it holds no template.
     hits = hits.withColumn("real", F.expr(f"h is not null and (not is_base or startswith(array_join(slice(words, i + 1, {longest}), ' ') || ' ', phrase || ' '))"))
-    hits = hits.selectExpr("rid", "doc_id", "cast(size(words) as bigint) as n_words", "cast(i as bigint) as i", "if(real, t, -1) as t", "if(real, label, null) as label", "real and is_base as base", "grams", "j", "cast(i as bigint) - j as diagonal")
+    # Before a document's first word a template has none, so at i < j its first words are edits.
+    around = "if(real and not is_base, slice(words, greatest(i - j, 0) + 1, 3 * (grams + 2)), null)"
+    hits = hits.selectExpr("rid", "doc_id", f"{around} as around", "cast(size(words) as bigint) as n_words", "cast(i as bigint) as i", "if(real, t, -1) as t", "if(real, label, null) as label", "real and is_base as base", "grams", "j", "cast(i as bigint) - j as diagonal")
     voted = hits.withColumn("far", F.expr(f"if(coalesce(diagonal - lag(diagonal) over (partition by rid, t order by diagonal, i), 0) > {SLACK}, 1, 0)"))
     voted = voted.withColumn("span", F.expr("if(base, i, sum(far) over (partition by rid, t order by diagonal, i rows unbounded preceding))"))
     spans = voted.groupBy("rid", "t", "span").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.max("base").alias("base"),
         F.first("grams").alias("grams"), F.countDistinct("j").alias("held"), F.min("i").alias("first"), F.max("i").alias("last"),
+        F.expr("min_by(around, struct(i, j))").alias("around"), F.min(F.struct("i", "j")).alias("begin"), F.max(F.struct("i", "j")).alias("end"),
     )
+    spans = spans.join(F.broadcast(checks), F.col("t") == F.col("vt"), "left")
+    # The words from where the template's first word would lie to where its last one would.
+    extent = f"cast(end.i + grams + {GRAM - 1} - end.j - greatest(begin.i - begin.j, 0) as int)"
+    spans = spans.withColumn("read", F.expr(f"array_join(transform(slice(around, 1, greatest({extent}, 0)), w -> coalesce(letters[w], '~')), '')"))
+    spans = spans.withColumn("edits", F.expr("levenshtein(read, code) / n_t"))
+    variant = "forall(keys, k -> contains(read, k) and not contains(read, k || '!'))"
     spans = spans.withColumn("share", F.expr("if(base, 1D, held / grams)"))
-    spans = spans.withColumn("accepted", F.expr(f"t >= 0 and (base or (share >= {ACCEPT}D and last - first < 2 * grams))"))
+    spans = spans.withColumn("accepted", F.expr(f"t >= 0 and (base or coalesce(edits <= {1 - ACCEPT:g}D and {variant} and last - first < 2 * grams, false))"))
+    spans = spans.withColumn("kept", F.expr(f"collect_list(if(accepted and not base, struct(t, label, first, last + {GRAM - 1} as last, edits), null)) over (partition by rid)"))
+    spans = spans.withColumn("accepted", F.expr(f"accepted and (base or not exists(kept, o -> o.label <> label and o.first <= last + {GRAM - 1} and o.last >= first and (o.edits < edits or o.edits = edits and o.t < t)))"))
     found = spans.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.count(F.expr("if(t >= 0 and base, 1, null)")).alias("n_base"),

@@ -28,3 +28,23 @@ def test_edited_notices(spark):
     got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[1].labels == "mit" and got[1].spans[0]["first"] == 2 and 0.7 <= got[1].score < 1
     assert got[2].labels == got[3].labels == "" and got[2].score == 0
+
+
+def test_verified_spans(spark):
+    """The words that tell version and variant count, and short notices may lack words."""
+    texts = {
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
+        "It is licensed under the GNU General Public License, version 2.": "gpl-2",
+        "licensed under the GNU Lesser General Public License version 2.1": "",
+        "licensed under the GNU Lesser General Public License version 3": "lgpl-3",
+        "licensed under the GNU Affero General Public License version 3": "",
+        "the text is CC BY-SA 4.0": "cc-by-sa",
+        "CC BY-SA 4.0": "cc-by-sa",
+        "shared under CC BY-SA 3.0 by us": "cc-by-sa",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "",
+        "the general public license version of 3": "",
+    }
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.labels for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == texts
