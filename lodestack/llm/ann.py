@@ -3,7 +3,8 @@
 The tree is fitted on a bounded sample and holds centroids only, so its size is bounded too; every vector of
 the table is filed under its leaf. A query walks the tree through a priority queue of branches, nearest
 centroid first, and visits leaves in the order in which they come up. How many it visits is calibrated: the
-number widens until a bounded set of calibration queries, held against all vectors, reaches the wanted recall.
+number widens until a bounded set of calibration queries, held against all vectors, reaches the wanted recall;
+a query goes on beyond it until its leaves hold as many candidates as it asks for.
 Leaves larger than a block are dealt out in blocks, each of which sees the queries that visit the leaf.
 """
 
@@ -77,10 +78,10 @@ class Tree:
             at += [(c, rows[near == k]) for k, c in enumerate(self.children[node])]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first leaves that a query meets, best bin first."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < most:
+    def visits(self, q: np.ndarray, least: int, sizes: dict[int, int] | None = None, wanted: int = 0) -> list[int]:
+        """The first leaves that a query meets, best bin first: at least so many, and until they hold wanted vectors by sizes."""
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < least or held < wanted):
             _, node = heapq.heappop(queue)
             while self.children[node]:
                 d = ((self.centres[self.children[node]] - q) ** 2).sum(1)
@@ -89,6 +90,7 @@ class Tree:
                     heapq.heappush(queue, (float(d[k]), self.children[node][k]))
                 node = self.children[node][order[0]]
             out.append(node)
+            held += sizes.get(node, 0) if sizes else 0
         return out
 
 
@@ -188,17 +190,18 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOU
 
     def visit(batches):
         for b in batches:
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1))
+            ids, x, own = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
             index, leaf, block = [], [], []
             for i, q in enumerate(x):
-                for node in tree.visits(q, visits):
+                for node in tree.visits(q, visits, sizes, k + int(own[i])):  # its own rows are no candidates
                     for c in range(blocks.get(node, 0)):
                         index.append(i)
                         leaf.append(node)
                         block.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), pa.array(ids[index] if index else [], pa.int64()), b.column(1).take(pa.array(index, pa.int64()))], names=["leaf", "block", "query_id", "embedding"])
 
-    visiting = asked.mapInArrow(visit, "leaf bigint, block bigint, query_id bigint, embedding array<double>")
+    own = rows.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
+    visiting = asked.join(own, "vec_id").select("vec_id", "embedding", "own").mapInArrow(visit, "leaf bigint, block bigint, query_id bigint, embedding array<double>")
     split = F.create_map(*[F.lit(x) for leaf, n in blocks.items() if n > 1 for x in (leaf, n)]) if any(n > 1 for n in blocks.values()) else None
     parts = F.coalesce(split[F.col("leaf")], F.lit(1)) if split is not None else F.lit(1)
     dealt = filed.withColumn("block", F.pmod(F.xxhash64("vec_id"), parts).cast("bigint"))

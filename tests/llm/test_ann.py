@@ -51,3 +51,12 @@ def test_odd_rows(spark):
     assert got == [(0, 1, 1, root), (0, 2, 1, root), (1, 1, 0, root)]
     none = spark.createDataFrame([], schema)
     assert A.nearest_neighbours(none, none).count() == 0
+
+
+def test_outliers_get_all_their_ranks(spark):
+    """Groups of copies need one leaf; a query alone in a leaf still gets ten neighbours."""
+    rng = np.random.default_rng(3)
+    rows = [(100 * g + i, c.tolist()) for g, c in enumerate(rng.normal(size=(40, 8)) * 10) for i in range(70)]
+    df = spark.createDataFrame(rows + [(90_000, [500.0] * 8)], "vec_id bigint, embedding array<double>")
+    got = A.nearest_neighbours(df, df.where("vec_id = 90000 or vec_id % 100 < 5")).groupBy("query_id").count().collect()
+    assert len(got) == 201 and {r["count"] for r in got} == {10}
