@@ -159,18 +159,26 @@ def _fetcher(spec: Spec):
     return fetch
 
 
+def joined_symbols(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all chunks of a binary column, and where each value's begin; they may be over 2 GB."""
+    bounds, parts, at = [np.zeros(1, np.int64)], [np.zeros(0, np.uint8)], 0
+    for c in column.chunks:
+        if len(c):
+            ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            raw = c.buffers()[2]
+            parts.append(np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else parts[0])
+            bounds.append(ends[1:] - ends[0] + at)
+            at = bounds[-1][-1]
+    return np.concatenate(parts), np.concatenate(bounds)
+
+
 def _judge(spec: Spec):
     """Judges complete buckets, some at a time, of rows sorted by bucket and document."""
 
     def verdicts(rows: pa.Table):
-        rows = rows.combine_chunks()
-        payload = rows["symbols"].chunk(0) if rows["symbols"].num_chunks else None
-        if payload is None or not len(payload):
+        if not rows.num_rows:
             return
-        raw = np.frombuffer(payload.buffers()[2], np.uint8)
-        bounds = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1].astype(np.int64)
-        symbols = raw[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
+        symbols, bounds = joined_symbols(rows["symbols"])
         if spec.words:
             symbols, bounds = symbols.view(np.uint64), bounds // 8
         doc, at, judged = rows["doc"].to_numpy(), rows["at"].to_numpy(), rows["judged"].to_numpy(zero_copy_only=False)

@@ -105,3 +105,16 @@ def test_refinement():
         names = {}
         want = [names.setdefault(symbols[s : s + length].tobytes(), len(names)) for s in starts]
         assert len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_all_chunks_are_judged():
+    """A bucket whose symbols come in several chunks, as over 2 GB, is read whole."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lodestack.llm.repeats import joined_symbols
+
+    values = [b"abc", b"", b"de", b"fgh", b"", b"i"]
+    column = pa.chunked_array([pa.array(values[:2], pa.binary()), pa.array([], pa.binary()), pa.array([b"x", *values[2:]], pa.binary()).slice(1)])
+    symbols, bounds = joined_symbols(column)
+    assert [symbols[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])] == values and bounds.dtype == np.int64
