@@ -7,6 +7,7 @@ loosest sequences, which are given up for it. So most documents stay whole and o
 worker's block is padded. Workers need nothing from each other.
 """
 
+import json
 import os
 import zlib
 from collections import deque
@@ -14,7 +15,7 @@ from collections import deque
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -26,15 +27,33 @@ END = 1
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Tokens that a worker packs at once; a longer document is packed whole all the same.
 BLOCK_TOKENS = 2 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
-#: The vocabulary's own split of a text into the parts that merges never cross.
+#: The split of a text into the parts that merges never cross, as byte-level vocabularies make it.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def byte_ranks(vocabulary: str) -> dict[bytes, int] | None:
+    """Ids of a vocabulary file's tokens by their bytes, if it is a plain byte-level BPE whose ids are in the order
+    of its merges, so that merging by the least id is what the tokenizer does; else None."""
+    with open(vocabulary, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, split = whole["model"], whole.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not model.get("ignore_merges") and not model.get("dropout") and not whole.get("normalizer")
+    if not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex"):
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    added = {t["content"] for t in whole["added_tokens"]}
+    pairs = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(p) for p in pairs]
+    if None in ids or any(x >= y for x, y in zip(ids, ids[1:])) or len(model["vocab"].keys() - added) != 256 + len(pairs):
+        return None
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+    return ranks if all(ranks.get(bytes([b]), ids[0]) < ids[0] for b in range(256)) else None
+
+
 class Encoder:
-    """Ids of whole texts. Parts between which merges never reach are encoded once and remembered; texts that
-    hold the string of a special token go to the tokenizer as they are."""
+    """Ids of whole texts, as the tokenizer gives them. Plain byte-level vocabularies are merged by rank, which is several
+    times as fast; other ones, and texts that hold the string of a special token, go to the tokenizer itself."""
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -42,22 +61,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(SPLIT).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [None if any(s in t for s in self.special) else self.find(t) for t in texts]
-        new = list({p for ps in parts if ps for p in ps}.difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({p for ps in parts if ps for p in ps})
-        self.known.update(zip(new, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        get = self.known.__getitem__
-        out = []
-        for t, ps in zip(texts, parts):
-            ids = self.tokenizer.encode(t, add_special_tokens=False).ids if ps is None else [x for p in ps for x in get(p)]
-            out.append(np.array(ids, np.uint32))
-        return out
+        ranks = byte_ranks(vocabulary)
+        self.ranked = tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.ranked is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.ranked(text), np.uint32)
 
 
 def encoder(vocabulary: str) -> Encoder:
@@ -129,10 +139,9 @@ def _packer(vocabulary: str, capacity: int, end: int):
         base, held, size = TaskContext.get().partitionId() << 36, [], 0
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for k in range(0, len(ids), 100):
-                for d, t in zip(ids[k : k + 100], encode([x or "" for x in texts[k : k + 100]])):
-                    held.append((d, np.append(t, np.uint32(end))))
-                    size += len(held[-1][1])
+            for d, text in zip(ids, texts):
+                held.append((d, np.append(encode(text or ""), np.uint32(end))))
+                size += len(held[-1][1])
                 if size >= BLOCK_TOKENS:
                     batch, done = rows(held, base)
                     yield batch

@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +10,8 @@ from tokenizers import Tokenizer
 
 from lodestack.llm import packing as P
 
+TOKENIZER = Tokenizer.from_file(P.VOCABULARY)
+
 
 def check(lengths, capacity=2048):
     sequences = P.pack(lengths, capacity)
@@ -71,4 +74,17 @@ def test_documents(request, name):
 def test_special_strings_and_odd_space():
     e, t = P.encoder(P.VOCABULARY), Tokenizer.from_file(P.VOCABULARY)
     texts = ["", " ", "  a  b\n\n c\t\td ", "it's we'LL '' 's", "x<|endoftext|>y", "日本語 テスト ١٢٣ ½ ²", "   a", "😀😀 !?… --"]
-    assert [x.tolist() for x in e(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    for x in texts:
+        assert e(x).tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \n'stremvdl1é")), max_size=60))
+def test_ids_are_the_tokenizers(text):
+    assert P.encoder(P.VOCABULARY)(text).tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_other_vocabularies_go_to_their_tokenizer():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    e, t = P.Encoder(other), Tokenizer.from_file(other)
+    assert e.ranked is None and e("Some words, here").tolist() == t.encode("Some words, here", add_special_tokens=False).ids
