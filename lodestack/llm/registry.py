@@ -53,7 +53,7 @@ def op7_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return out.select("doc_id", F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)").alias("held_out"), "score", "predicted")
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

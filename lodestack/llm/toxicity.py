@@ -11,13 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .session import small_batches
+from .session import materialise, small_batches
 
 #: Labelled rows that the model is fitted on at most: those with the smallest hash of their id.
 SAMPLE_ROWS = 12_000
 TERM_BITS = 24
-#: Hashed terms that the model knows: those whose presence tells the labels apart best.
+#: Hashed terms that the model knows for telling the labels apart on their own, and for doing so beside others.
 TERMS = 1024
+BESIDE = 512
+#: Terms, those that speak for toxicity most, beside which other ones are looked for.
+ANCHORS = 64
+#: Least squared correlation of a term with the label (chi-square by number of rows), and least rows that hold it.
+TELLING = 0.0125
+HELD = 3
 RANK = 4
 #: Bytes of the word beginnings that are terms too.
 PREFIXES = range(4, 11)
@@ -80,50 +86,49 @@ class FactorizationMachine:
         squares = np.bincount(row, (self.v[feature] ** 2).sum(1), n)
         return out + 0.5 * ((sums**2).sum(1) - squares), sums
 
-    def fit(self, labels: np.ndarray, row: np.ndarray, feature: np.ndarray, epochs: int = 60, rate: float = 0.1, decay: float = 1e-3):
+    def fit(self, labels: np.ndarray, row: np.ndarray, feature: np.ndarray, steps: int = 2800, rate: float = 0.1, decay: float = 1e-3):
+        """Steps over random batches; a byte for each row and term is held."""
         rng, batch = np.random.default_rng(2), 256
-        order = np.argsort(row, kind="stable")
-        row, feature = row[order], feature[order]
-        bounds = np.searchsorted(row, np.arange(len(labels) + 1))
+        held = np.zeros((len(labels), len(self.w)), np.uint8)
+        held[row, feature] = 1
         gw, gv, gb = np.full(len(self.w), 1e-6), np.full(self.v.shape, 1e-6), 1e-6
-        epochs = max(epochs, -(-600 * batch // max(1, len(labels))) if len(labels) < 2000 else epochs)
-        for _ in range(epochs if len(self.terms) else 0):
-            shuffled = rng.permutation(len(labels))
-            for k in range(0, len(shuffled), batch):
-                docs = shuffled[k : k + batch]
-                size = bounds[docs + 1] - bounds[docs]
-                at = np.repeat(bounds[docs] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                r, f = np.repeat(np.arange(len(docs)), size), feature[at]
-                margin, sums = self.margin(len(docs), r, f)
-                error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[docs]) / len(docs)
-                dw = np.bincount(f, error[r], len(self.w)) + decay * self.w / len(self.w)
-                inner = error[r][:, None] * (sums[r] - self.v[f])
-                dv = np.stack([np.bincount(f, inner[:, x], len(self.w)) for x in range(inner.shape[1])], 1) + decay * self.v / len(self.w)
-                gw += dw**2
-                gv += dv**2
-                gb += error.sum() ** 2
-                self.w -= rate * dw / np.sqrt(gw)
-                self.v -= 0.3 * rate * dv / np.sqrt(gv)
-                self.bias -= rate * error.sum() / np.sqrt(gb)
+        for _ in range(steps if held.size else 0):
+            docs = rng.integers(0, len(labels), batch)
+            x = held[docs].astype(np.float64)
+            sums = x @ self.v
+            margin = self.bias + x @ self.w + 0.5 * ((sums**2).sum(1) - x @ (self.v**2).sum(1))
+            error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[docs]) / batch
+            slope = x.T @ error
+            dw = slope + decay * self.w / len(self.w)
+            dv = x.T @ (error[:, None] * sums) - slope[:, None] * self.v + decay * self.v / len(self.w)
+            gw += dw**2
+            gv += dv**2
+            gb += error.sum() ** 2
+            self.w -= rate * dw / np.sqrt(gw)
+            self.v -= 0.3 * rate * dv / np.sqrt(gv)
+            self.bias -= rate * error.sum() / np.sqrt(gb)
         return self
 
 
-def telling_terms(labels: np.ndarray, row: np.ndarray, hashed: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """Terms whose presence differs most between the labels (chi-square above 40), sorted."""
-    terms, inverse = np.unique(hashed, return_inverse=True)
-    n, p = len(labels), labels.mean() if len(labels) else 0.0
-    df = np.bincount(inverse, minlength=len(terms)).astype(float)
-    hit = np.bincount(inverse, labels[row], len(terms))
-    gap = hit - p * df
-    chi = gap**2 / np.maximum(p * (1 - p) * df * (1 - df / max(1, n)), 1e-12)
-    chosen = np.flatnonzero((chi > 40) & (df >= 3) & (df < n))
-    return np.sort(terms[chosen[np.argsort(-chi[chosen], kind="stable")[:most]]])
+def telling_terms(rows: DataFrame, most: int) -> list[tuple[int, bool]]:
+    """(term, speaks for toxicity) of the terms of rows(toxic, terms) that tell the labels apart most, best first.
+
+    Counted where the rows are; the driver gets at most ``most`` of them."""
+    n, hits = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not 0 < hits < n:
+        return []
+    found = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hit"))
+    gap, share = f"(hit - {hits} * (df / {n}))", hits / n
+    found = found.where(f"df >= {HELD} and df < {n}").selectExpr("term", f"{gap} > 0 as speaks", f"{gap} * {gap} / ({share * (1 - share)!r}D * df * (1 - df / {n})) / {n} as telling")
+    found = found.where(f"telling >= {TELLING}").orderBy(F.desc("telling"), "term").limit(most)
+    return [(r.term, r.speaks) for r in found.collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
     """A machine for labels(doc_id, toxic) of docs(doc_id, text); rows whose crc32(id) mod 5 is 0 stay out.
 
-    At most sample_rows labelled documents are used, so what is broadcast and what the driver gets is bounded.
+    At most sample_rows labelled documents are used. Their terms are counted by Spark; the driver gets the best terms, and
+    of each document only those, so what is broadcast and what the driver holds is bounded whatever the texts' lengths.
     Rows with a null id or label are left out. Without labels of both kinds the model scores their share.
     """
     spark = docs.sparkSession
@@ -139,15 +144,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(term.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int32()), lists], names=["doc_id", "toxic", "terms"])
 
-    got = texts.mapInArrow(scan, "doc_id bigint, toxic int, terms array<int>").toArrow().sort_by("doc_id")  # one order for every run
-    label = np.array(got["toxic"].to_pylist(), float)
-    lists = got["terms"].combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    size = lists.value_lengths().to_numpy() if len(label) else np.zeros(0, int)
-    hashed = lists.flatten().to_numpy().astype(np.int64) if len(label) else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(label)), size)
+    rows = materialise(texts.mapInArrow(scan, "doc_id bigint, toxic int, terms array<int>"))  # sample_rows texts at most
+    alone = telling_terms(rows, TERMS)
+    anchors = [t for t, speaks in alone if speaks][:ANCHORS]
+    # A group's name may be as common in clean texts, and tell only among those that hold an insult too.
+    beside = telling_terms(rows.where(F.arrays_overlap("terms", F.lit(anchors).cast("array<int>"))), BESIDE) if anchors else []
+    terms = np.unique(np.array([t for t, _ in alone + beside], np.int64))
+    known = F.array_intersect("terms", F.lit(terms.tolist()).cast("array<int>"))
+    got = sorted((r.doc_id, r.toxic, sorted(r.terms)) for r in rows.select("doc_id", "toxic", known.alias("terms")).collect())  # one order for every run
+    label = np.array([x for _, x, _ in got], float)
+    hashed = np.array([t for *_, ts in got for t in ts], np.int64)
+    row = np.repeat(np.arange(len(got)), [len(ts) for *_, ts in got])
     share = (label.sum() + 0.1) / (len(label) + 1)
-    model = FactorizationMachine(telling_terms(label, row, hashed), float(np.log(share / (1 - share))))
+    model = FactorizationMachine(terms, float(np.log(share / (1 - share))))
     return model.fit(label, *model.features(row, hashed))
 
 
