@@ -32,8 +32,8 @@ _FETCHED = "bucket bigint, doc bigint, th int, at bigint, judged boolean, symbol
 _VERDICTS = "doc bigint, th int, at bigint"
 #: Segments that a worker holds before equal ones are merged and sent on.
 _HELD = 600_000
-#: Symbol bytes of whole buckets that are judged at once.
-_JUDGED = 4 << 20
+#: Symbols of whole buckets that are judged at once; a larger bucket is judged alone.
+_JUDGED = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -190,19 +190,21 @@ def _judge(spec: Spec):
         where = (at[seg] >> 32) + start - bounds[seg]
         yield pa.RecordBatch.from_arrays([pa.array(doc[seg]), pa.array(rows["th"].to_numpy()[seg]), pa.array(where << 32 | (end - start))], names=["doc", "th", "at"])
 
+    width = 8 if spec.words else 1
+
     def judge(batches):
-        held, size = [], 0
+        held, size, last = [], 0, None
         for b in batches:
+            if not b.num_rows:
+                continue
+            bucket = b.column(0).to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
+            if size + b.nbytes >= _JUDGED * width and (cut or held and last != bucket[-1]):
+                yield from verdicts(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held, size, b = [], 0, b.slice(cut)
             held.append(b)
             size += b.nbytes
-            if size >= _JUDGED:
-                t = pa.Table.from_batches(held)
-                bucket = t["bucket"].to_numpy()
-                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
-                if cut:
-                    yield from verdicts(t.slice(0, cut))
-                    t = t.slice(cut)
-                held, size = t.to_batches(), t.nbytes if not cut else 0
+            last = bucket[-1]
         if held:
             yield from verdicts(pa.Table.from_batches(held))
 
