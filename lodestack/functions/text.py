@@ -11,7 +11,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E\xA0\xB0]"
 #: English words that are dropped, shortest first.
 STOP_WORDS = sorted(
     """
-    yet you who why was too twas tis the she say so our own out off on or of nor not no my me let its it is in if i
+    yet you who why was too tis the she say so our own off on or of nor not no my me let its it is in if i
     how his him her has had he got get for ever else either did does do dear could cannot can by but because been be
     at as any an am a among also almost all after across about able and are from hers have however into just least
     like likely may might most must neither often only other rather said says should since some than that their them

@@ -57,7 +57,7 @@ def dense_ids(df: DataFrame, name: str, *order: str) -> DataFrame:
     Rows are dealt out by ranges of the keys; each range numbers its own rows, after the rows of the ranges
     before it. Only a row for each range meets in one task.
     """
-    keys = [F.expr(o) for o in order]
+    keys = [F.expr(o[:-5]).desc() if o.lower().endswith(" desc") else F.expr(o) for o in order]
     ranged = df.repartitionByRange(partitions(df.sparkSession), *keys).withColumn("__range", F.spark_partition_id())
     ranged = materialise(ranged)
     before = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
