@@ -1,11 +1,11 @@
 """License notices by diagonal voting over word k-grams, in DataFrame expressions only.
 
 Every word 3-gram of every text is hashed and joined with the positions of all templates' 3-grams. A match at
-word i of position j votes for the diagonal i - j of that template; neighbouring diagonals (a few words put in
-or left out) are merged. Every merged span is then verified: the words where the whole template would lie are
-held against it by word edits, and the words that tell a license's variant and version must stand there as they are.
-Of overlapping spans with different labels the one with the smaller share of edits stays. Words are split,
-exploded, hashed and joined within one stage, so only matches
+word i of position j votes for the diagonal i - j of that template; each diagonal with a vote is merged with those
+up to a few words before and after it (words put in or left out), so no span outgrows its template. Every span is then
+verified: the words where the whole template would lie are held against it by word edits, and the words that tell a
+license's variant and version must stand there as they are. Of overlapping spans with different labels the one
+with the smaller share of edits stays. Words are split, exploded, hashed and joined within one stage, so only matches
 and one row a document are shuffled.
 """
 
@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
-#: Diagonals up to this far apart are one span.
+#: More than a template has words.
+FAR = 1000
+#: Diagonals up to this far before and after one are merged with it.
 SLACK = 4
-#: Share of a template's 3-grams that the SQL form accepts, and of its words that a verified span leaves unedited.
+#: Share of a template's words that a verified span leaves unedited at least.
 ACCEPT = 0.7
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Base phrases: every place counts.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -88,7 +91,7 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """
     spark = docs.sparkSession
     grams = spark.sql(f"SELECT t, label, is_base, grams, j, xxhash64(a, b, c) AS h, phrase FROM VALUES {_values(template_rows(base, templates))} AS x(t, label, is_base, grams, j, a, b, c, phrase)")
-    words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.expr(f"array_remove(split(lower(coalesce(text, '')), r'{_SEPARATORS}'), '')").alias("words"))
+    words = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.expr(f"array_remove(split(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), r'{_SEPARATORS}'), '')").alias("words"))
     checks = spark.sql(f"SELECT t AS vt, n_t, code, str_to_map(letters, ' ', ':') AS letters, filter(split(keys, ' '), x -> x <> '') AS keys FROM VALUES {_values(verified_rows(base, templates))} AS x(t, n_t, code, letters, keys)")
     longest = max(len(p.split()) for p in base)
     each = words.selectExpr("rid", "doc_id", "words", "posexplode_outer(words) as (i, w)")
@@ -97,26 +100,30 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     hits = hits.where("i = 0 or (h is not null and (not is_base or startswith(array_join(slice(words, i + 1, " + str(longest) + "), ' ') || ' ', phrase || ' ')))")
     # A first word may be kept for its document alone: then it holds no template.
     hits = hits.withColumn("real", F.expr(f"h is not null and (not is_base or startswith(array_join(slice(words, i + 1, {longest}), ' ') || ' ', phrase || ' '))"))
-    # Before a document's first word a template has none, so at i < j its first words are edits.
-    around = "if(real and not is_base, slice(words, greatest(i - j, 0) + 1, 3 * (grams + 2)), null)"
+    around = f"if(real and not is_base, slice(words, greatest(i - j - {SLACK}, 0) + 1, grams + {GRAM - 1 + 2 * SLACK}), null)"
     hits = hits.selectExpr("rid", "doc_id", f"{around} as around", "cast(size(words) as bigint) as n_words", "cast(i as bigint) as i", "if(real, t, -1) as t", "if(real, label, null) as label", "real and is_base as base", "grams", "j", "cast(i as bigint) - j as diagonal")
-    voted = hits.withColumn("far", F.expr(f"if(coalesce(diagonal - lag(diagonal) over (partition by rid, t order by diagonal, i), 0) > {SLACK}, 1, 0)"))
-    voted = voted.withColumn("span", F.expr("if(base, i, sum(far) over (partition by rid, t order by diagonal, i rows unbounded preceding))"))
-    spans = voted.groupBy("rid", "t", "span").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.first("label").alias("label"), F.max("base").alias("base"),
-        F.first("grams").alias("grams"), F.countDistinct("j").alias("held"), F.min("i").alias("first"), F.max("i").alias("last"),
-        F.expr("min_by(around, struct(i, j))").alias("around"), F.min(F.struct("i", "j")).alias("begin"), F.max(F.struct("i", "j")).alias("end"),
-    )
+    near = f"(partition by rid, t order by diagonal range between {SLACK} preceding and {SLACK} following)"
+    place = f"i * {FAR} + j"  # orders by word, then by position in the template
+    spans = hits.selectExpr("*", f"size(collect_set(j) over {near}) as held", f"max({place}) over {near} as end", "row_number() over (partition by rid, t, diagonal order by i) as nth")
+    spans = spans.where("t < 0 or base or nth = 1")  # a span for each diagonal; base places count all
     spans = spans.join(F.broadcast(checks), F.col("t") == F.col("vt"), "left")
-    # The words from where the template's first word would lie to where its last one would.
-    extent = f"cast(end.i + grams + {GRAM - 1} - end.j - greatest(begin.i - begin.j, 0) as int)"
-    spans = spans.withColumn("read", F.expr(f"array_join(transform(slice(around, 1, greatest({extent}, 0)), w -> coalesce(letters[w], '~')), '')"))
-    spans = spans.withColumn("edits", F.expr("levenshtein(read, code) / n_t"))
+    # The words from where the template's first word lies on this diagonal, to where its last one lies on it, or on that of
+    # the last match; what would lie before the text's first word is missing.
+    start = "greatest(diagonal, 0)"
+    letter = "w -> coalesce(letters[w], '~')"
+    for name, stop in (("near", "diagonal + n_t"), ("wide", f"end div {FAR} - end % {FAR} + n_t")):
+        part = f"slice(around, cast({start} - greatest(diagonal - {SLACK}, 0) + 1 as int), cast(greatest({stop} - {start}, 0) as int))"
+        spans = spans.withColumn(name, F.expr(f"struct(levenshtein(array_join(transform({part}, {letter}), ''), code) as edits, array_join(transform({part}, {letter}), '') as read, least({stop}, n_words) - 1 as last)"))
+    spans = spans.withColumn("best", F.expr("if(near.edits <= wide.edits, near, wide)"))
+    spans = spans.withColumns({"read": F.expr("best.read"), "edits": F.expr("best.edits / n_t"), "first": F.expr(f"if(base, i, {start})"), "last": F.expr(f"if(base, i + {GRAM - 1}, best.last)")})
     variant = "forall(keys, k -> contains(read, k) and not contains(read, k || '!'))"
     spans = spans.withColumn("share", F.expr("if(base, 1D, held / grams)"))
-    spans = spans.withColumn("accepted", F.expr(f"t >= 0 and (base or coalesce(edits <= {1 - ACCEPT:g}D and {variant} and last - first < 2 * grams, false))"))
-    spans = spans.withColumn("kept", F.expr(f"collect_list(if(accepted and not base, struct(t, label, first, last + {GRAM - 1} as last, edits), null)) over (partition by rid)"))
-    spans = spans.withColumn("accepted", F.expr(f"accepted and (base or not exists(kept, o -> o.label <> label and o.first <= last + {GRAM - 1} and o.last >= first and (o.edits < edits or o.edits = edits and o.t < t)))"))
+    spans = spans.withColumn("accepted", F.expr(f"t >= 0 and (base or coalesce(edits <= {1 - ACCEPT:g}D and {variant}, false))"))
+    spans = spans.withColumn("kept", F.expr(f"collect_list(if(accepted and not base, struct(t, label, first, last, edits), null)) over (partition by rid)"))
+    spans = spans.withColumn("accepted", F.expr(f"accepted and (base or not exists(kept, o -> o.label <> label and o.first <= last and o.last >= first and (o.edits < edits or o.edits = edits and o.t < t)))"))
+    # Of one template's overlapping spans the best is told; their label is the same.
+    told = f"accepted and (base or not exists(kept, o -> o.t = t and o.first <= last and o.last >= first and (o.edits < edits or o.edits = edits and o.first < first)))"
+    spans = spans.withColumn("told", F.expr(told))
     found = spans.groupBy("rid").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.count(F.expr("if(t >= 0 and base, 1, null)")).alias("n_base"),
@@ -125,26 +132,34 @@ def scan_licenses(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.expr("if(t >= 0 and base, label, null)"))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.expr("if(accepted, label, null)"))), ",").alias("labels"),
         F.coalesce(F.max(F.expr("if(accepted, share, null)")), F.lit(0.0)).alias("score"),
-        F.sort_array(F.collect_list(F.expr(f"if(accepted, struct(first, last + {GRAM - 1} as last, label, share), null)"))).alias("spans"),
+        F.sort_array(F.collect_set(F.expr(f"if(told, struct(first, last, label, share), null)"))).alias("spans"),
     )
     return found.drop("rid")
 
 
 #: DuckDB's form of the scan over the table documents, on words themselves in place of hashes.
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 g AS (SELECT * FROM (VALUES {_values(template_rows())}) AS x(t, label, is_base, grams, j, a, b, c, phrase)),
+v AS (SELECT vt, n_t, code, map_from_entries(list_transform(string_split(letters, ' '), lambda x: (split_part(x, ':', 1), split_part(x, ':', 2)))) AS letters, list_filter(string_split(keys, ' '), lambda x: x <> '') AS keys
+   FROM (VALUES {_values(verified_rows())}) AS x(vt, n_t, code, letters, keys)),
 e AS (SELECT rid, unnest(range(len(words))) AS i, words FROM d),
-h0 AS (SELECT rid, i::BIGINT AS i, t, label, is_base AS base, grams, j, i - j AS diagonal FROM e JOIN g ON words[i + 1] = a AND words[i + 2] = b AND words[i + 3] = c
-   WHERE NOT is_base OR starts_with(array_to_string(words[i + 1 : i + 4], ' ') || ' ', phrase || ' ')),
-h1 AS (SELECT *, CASE WHEN coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, t ORDER BY diagonal, i), 0) > {SLACK} THEN 1 ELSE 0 END AS far FROM h0),
-h2 AS (SELECT *, CASE WHEN base THEN i ELSE sum(far) OVER (PARTITION BY rid, t ORDER BY diagonal, i ROWS UNBOUNDED PRECEDING) END AS span FROM h1),
-s AS (SELECT rid, t, span, any_value(label) AS label, bool_or(base) AS base, any_value(grams) AS grams, count(DISTINCT j) AS held, min(i) AS a, max(i) AS z FROM h2 GROUP BY rid, t, span),
-s2 AS (SELECT *, CASE WHEN base THEN 1.0::DOUBLE ELSE held::DOUBLE / grams END AS share FROM s),
-s3 AS (SELECT *, base OR (share >= {ACCEPT} AND z - a < 2 * grams) AS accepted FROM s2),
-f AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(a) FILTER (WHERE base) AS first_word, max(a) FILTER (WHERE base) AS last_word,
+h0 AS (SELECT rid, i::BIGINT AS i, t, label, is_base AS base, grams, j, i - j AS diagonal, words[greatest(i - j - {SLACK}, 0) + 1 : greatest(i - j - {SLACK}, 0) + grams + {GRAM - 1 + 2 * SLACK}] AS around
+   FROM e JOIN g ON words[i + 1] = a AND words[i + 2] = b AND words[i + 3] = c WHERE NOT is_base OR starts_with(array_to_string(words[i + 1 : i + 4], ' ') || ' ', phrase || ' ')),
+h1 AS (SELECT *, count(DISTINCT j) OVER near AS held, max(i * {FAR} + j) OVER near AS z, row_number() OVER (PARTITION BY rid, t, diagonal ORDER BY i) AS nth
+   FROM h0 WINDOW near AS (PARTITION BY rid, t ORDER BY diagonal RANGE BETWEEN {SLACK} PRECEDING AND {SLACK} FOLLOWING)),
+s0 AS (SELECT *, greatest(diagonal, 0) AS start, greatest(diagonal, 0) - greatest(diagonal - {SLACK}, 0) + 1 AS spot, diagonal + grams + {GRAM - 1} AS stop1, z // {FAR} - z % {FAR} + grams + {GRAM - 1} AS stop2 FROM h1 WHERE base OR nth = 1),
+r AS (SELECT s0.*, n_t, code, keys, array_to_string(list_transform(around[spot : spot + greatest(stop1 - start, 0) - 1], lambda w: coalesce(letters[w], '~')), '') AS read1,
+   array_to_string(list_transform(around[spot : spot + greatest(stop2 - start, 0) - 1], lambda w: coalesce(letters[w], '~')), '') AS read2 FROM s0 LEFT JOIN v ON t = vt),
+s1 AS (SELECT r.*, levenshtein(read1, code) <= levenshtein(read2, code) AS one, CASE WHEN one THEN read1 ELSE read2 END AS read, CASE WHEN base THEN i ELSE start END AS first,
+   CASE WHEN base THEN i + {GRAM - 1} ELSE least(CASE WHEN one THEN stop1 ELSE stop2 END, len(words)) - 1 END AS last FROM r JOIN d USING (rid)),
+s2 AS (SELECT *, levenshtein(read, code)::DOUBLE / n_t AS edits, CASE WHEN base THEN 1.0::DOUBLE ELSE held::DOUBLE / grams END AS share FROM s1),
+s3 AS (SELECT *, row_number() OVER () AS id, base OR coalesce(edits <= {1 - ACCEPT:g} AND len(list_filter(keys, lambda k: NOT contains(read, k) OR contains(read, k || '!'))) = 0, false) AS verified FROM s2),
+s4 AS (SELECT *, verified AND (base OR NOT EXISTS (SELECT 1 FROM s3 o WHERE o.rid = s3.rid AND o.verified AND NOT o.base AND o.label <> s3.label AND o.first <= s3.last AND o.last >= s3.first
+   AND (o.edits < s3.edits OR o.edits = s3.edits AND o.t < s3.t))) AS accepted FROM s3),
+f AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word, max(first) FILTER (WHERE base) AS last_word,
    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE accepted) AS labels,
-   max(share) FILTER (WHERE accepted) AS score FROM s3 GROUP BY rid)
+   max(share) FILTER (WHERE accepted) AS score FROM s4 GROUP BY rid)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN f USING (rid)
 """

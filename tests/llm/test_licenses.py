@@ -48,3 +48,12 @@ def test_verified_spans(spark):
     rows = list(enumerate(texts))
     got = {r.doc_id: r.labels for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert {t: got[i] for i, t in rows} == texts
+
+
+def test_repeated_beginnings(spark):
+    """A notice after many beginnings of it is found as it is alone, and no letter but A to Z is folded."""
+    notice = "licensed under the GNU General Public License, version 2"
+    rows = [(1, "licensed under the thing " * 12 + notice), (2, notice), (3, "under the mit \u212aicense"), (4, notice + " " + notice)]
+    got = {r.doc_id: r for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [(got[i].labels, got[i].score) for i in (1, 2, 3, 4)] == [("gpl-2", 1.0), ("gpl-2", 1.0), ("", 0.0), ("gpl-2", 1.0)]
+    assert [(s["first"], s["last"]) for s in got[4].spans] == [(0, 8), (9, 17)]
