@@ -1,7 +1,8 @@
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestack.llm import mixing as M
 
@@ -21,14 +22,19 @@ def wanted(sizes):
     return out
 
 
+def keyed(df):
+    return M.sized(df.select("doc_id", "text", "source")).selectExpr("doc_id", "source", "size", "0L as key")
+
+
 @pytest.mark.parametrize("name", ["odd", "none", "corpus"])
 def test_balance(request, name):
     df = request.getfixturevalue(name)
-    rows = M.mix(M.sized(df.select("doc_id", "text", "source"))).collect()
-    assert len(rows) == df.count()
+    rows = M.mix(keyed(df)).collect()
+    want = Counter((r.doc_id, len((r.text or "").encode().split())) for r in df.collect())
+    assert Counter((r.doc_id, r.size) for r in rows) == want
     sizes, taken, target = defaultdict(int), defaultdict(int), {}
     for r in rows:
-        assert r.size == len((r.text or "").encode().split()) and 0 <= r.taken <= 2 * r.size
+        assert 0 <= r.taken <= 2 * r.size
         sizes[r.source] += r.size
         taken[r.source] += r.taken
         target[r.source] = r.target
@@ -36,8 +42,39 @@ def test_balance(request, name):
         assert math.isclose(target[s], t, abs_tol=1e-6) and abs(taken[s] - t) <= 0.5 + 1e-6, s
 
 
+def multiplier(sizes, target):
+    """The dual by bisection: rates min(2, exp(m s / scale)) that take target words."""
+    scale = sum(s * s for s in sizes) / sum(sizes)
+    lo, hi = -2000.0, 2000.0
+    for _ in range(200):
+        m = (lo + hi) / 2
+        if sum(s * min(2.0, math.exp(min(700.0, m * s / scale))) for s in sizes) > target:
+            hi = m
+        else:
+            lo = m
+    return m, scale
+
+
+def test_dual(corpus, spark):
+    """Rates tilt by document: those of one source follow from one multiplier, found by brute force here."""
+    rows = M.mix(keyed(corpus)).collect()
+    lumpy = [(i, "ab"[i % 2], 1 + (i * i) % 37 + 4000 * (i % 29 == 0), 0) for i in range(300)]
+    rows += M.mix(spark.createDataFrame(lumpy, "doc_id bigint, source string, size bigint, key bigint").withColumn("source", F.concat(F.lit("x"), "source"))).collect()
+    tilted = 0
+    for source in {r.source for r in rows}:
+        mine = [r for r in rows if r.source == source and r.size]
+        if mine[0].target >= 2 * mine[0].source_size:
+            assert all(r.rate == 2 for r in mine)
+            continue
+        m, scale = multiplier([r.size for r in mine], mine[0].target)
+        assert all(abs(r.rate - min(2.0, math.exp(m * r.size / scale))) < 1e-5 for r in mine)
+        assert abs(sum(r.copies for r in mine) - sum(r.rate for r in mine)) < 1
+        tilted += len({round(r.rate, 6) for r in mine}) > 1
+    assert tilted >= 2
+
+
 def test_most_copies_are_whole(corpus):
-    rows = M.mix(M.sized(corpus.select("doc_id", "text", "source"))).collect()
+    rows = M.mix(keyed(corpus)).collect()
     assert sum(r.taken != r.copies * r.size for r in rows) < 0.2 * len(rows)
 
 
