@@ -1,7 +1,7 @@
 """Vectorised text kernels shared by the Python-side operators.
 
 Everything works on one Arrow slice of whole texts at a time: the UTF-8 buffer as numpy bytes and the
-offsets of its documents. Hashes are 64-bit polynomial fingerprints over random symbol values.
+offsets of its documents. Hashes are polynomial fingerprints over random symbol values: two of them modulo a prime, 62 bits.
 """
 
 import sys
@@ -16,8 +16,10 @@ SLICE_BYTES = 4 << 20
 _U = np.uint64
 _rng = np.random.default_rng(0x5EED)
 BYTE_VALUE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | _U(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
+#: A prime modulus: modulo a power of two, some long strings (Thue and Morse's) have equal fingerprints for every base.
+PRIME = 2**31 - 1
+_P = _U(PRIME)
+_BASES = (0x3A5F1C27, 0x5D93E8B1)
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -36,35 +38,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, kept by the worker."""
+def _mod(x: np.ndarray) -> np.ndarray:
+    return x - (x // _P) * _P
+
+
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The first n powers of each base and of its inverse, kept by the worker."""
     cache = worker_cache()
-    if len(cache.get("powers", ((),))[0]) < n:
+    if len(cache.get("powers", (((),),))[0][0]) < n:
         size = max(n, 1 << 20)
-        both = []
-        for base in (_BASE, _BASE_INV):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        cache["powers"] = tuple(both)
-    up, down = cache["powers"]
-    return up[:n], down[:n]
+
+        def of(base):
+            out = np.ones(size, np.uint64)
+            done = 1
+            while done < size:  # doubles what is there
+                more = min(done, size - done)
+                out[done : done + more] = _mod(out[:more] * _U(pow(base, done, PRIME)))
+                done += more
+            return out
+
+        cache["powers"] = [(of(b), of(pow(b, -1, PRIME))) for b in _BASES]
+    return [(up[:n], down[:n]) for up, down in cache["powers"]]
 
 
 class Rolling:
     """Fingerprints of any span of a symbol sequence in constant time."""
 
     def __init__(self, symbols: np.ndarray):
-        up, self.down = powers(len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * up[: len(symbols)], out=self.sums[1:])
+        self.halves = []
+        for k, (up, down) in enumerate(powers(len(symbols) + 1)):
+            sums = np.zeros(len(symbols) + 1, np.uint64)  # below 2^64 for any text that fits in memory
+            np.cumsum(_mod(((symbols >> _U(31 * k)) & _P) * up[: len(symbols)]), out=sums[1:])
+            self.halves.append((sums, down))
+
+    def _joined(self, parts) -> np.ndarray:
+        high, low = (_mod(_mod(total) * down) for total, down in parts)
+        return (high << _U(31)) | low
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return self._joined((sums[end] - sums[start], down[start]) for sums, down in self.halves)
 
     def windows(self, length: int) -> np.ndarray:
-        n = max(0, len(self.sums) - length)
-        return (self.sums[length:] - self.sums[:n]) * self.down[:n]
+        n = max(0, len(self.halves[0][0]) - length)
+        return self._joined((sums[length:] - sums[:n], down[:n]) for sums, down in self.halves)
 
 
 def slide_min(h: np.ndarray, width: int) -> np.ndarray:

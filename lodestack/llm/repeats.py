@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .session import materialise, partitions, small_batches
 
-_SEGMENTS = "kind tinyint, bucket bigint, seg bigint, doc bigint, th int, at bigint, copies int, blob binary"
-_FETCHED = "bucket bigint, doc bigint, th int, at bigint, judged boolean, symbols binary"
-_VERDICTS = "doc bigint, th int, at bigint"
+_SEGMENTS = "kind tinyint, bucket bigint, seg bigint, doc bigint, th bigint, at bigint, copies int, blob binary"
+_FETCHED = "bucket bigint, doc bigint, th bigint, at bigint, judged boolean, symbols binary"
+_VERDICTS = "doc bigint, th bigint, at bigint"
 #: Segments that a worker holds before equal ones are merged and sent on.
 _HELD = 600_000
 #: Symbols of whole buckets that are judged at once; a larger bucket is judged alone.
@@ -222,13 +222,13 @@ def covered(at: np.ndarray, length: int, n: int) -> np.ndarray:
 def repeated_windows(docs: DataFrame, spec: Spec, carry: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """docs(doc, th, text), one row per document, and spans(doc, th, ats, blobs): the repeated windows of each.
 
-    A row's key is its id and a hash of its text. A null id counts as larger than all others. Columns to carry
+    A row's key is its id and a 64-bit hash of its text, so rows that share a null id and are not alike stay apart. A null id counts as larger than all others. Columns to carry
     stand in a struct ``row`` of docs.
     """
     spark = docs.sparkSession
     small_batches(spark)
     row = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")] if carry else []
-    docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").alias("th"), "text", *row)
+    docs = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").alias("th"), "text", *row)
     segments = docs.select("doc", "th", "text").mapInArrow(_scanner(spec), _SEGMENTS).repartition(partitions(spark), "bucket")
     whole = "rows between unbounded preceding and unbounded following"
     same = "partition by bucket, kind, seg order by doc, th, at"

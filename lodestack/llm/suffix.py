@@ -101,5 +101,5 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES, gram: int
     spec = Spec(words=False, length=window, gram=gram, earlier=False, judge=judge_windows(window))
     rows, spans = repeated_windows(docs, spec)
     out = rows.join(spans, ["doc", "th"], "left").select("doc", "th", "text", "ats", "blobs")
-    out = out.mapInArrow(_apply(window), "doc bigint, th int, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    out = out.mapInArrow(_apply(window), "doc bigint, th bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     return out.select(F.expr(f"nullif(doc, {2**63 - 1})").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")

@@ -84,6 +84,34 @@ def test_segments_hold_every_window_once():
     assert got == [(d, s) for d in range(5) for s in range(max(0, first[d + 1] - first[d] - 12))]
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: "b", 98: "a"})
+    return t
+
+
+def test_words_of_equal_polynomials(spark):
+    """Strings whose fingerprints agree modulo any power of two stay apart."""
+    one = thue_morse(1024)
+    other = one.translate({97: "b", 98: "a"})
+    words = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*words, one])), (2, " ".join([*words, other])), (3, one), (4, other)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in remove_repeated_passages(df).collect()), key=str) == passages(rows)
+    assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in remove_repeated_bytes(df).collect()), key=str) == strings(rows)
+
+
+def test_null_ids_and_hashes(spark):
+    """Rows that share a null id keep their own spans, also where short hashes of their texts agree."""
+    words = [f"x{i}" for i in range(40)]
+    texts = [f"{k} " + " ".join(words if k % 2 else words[::-1]) + f" {k}" for k in range(40)] + ["y " * 20, " ".join(words[:20])]
+    rows = [(None, t) for t in texts] + [(5, " ".join(words)), (5, "z " * 300), (5, " ".join(words) + " end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((tuple(r) for r in remove_repeated_passages(df).collect()), key=str) == passages(rows)
+    assert sorted(((r[0], r[1], r[2], r[3], bytes(r[4])) for r in remove_repeated_bytes(df).collect()), key=str) == strings(rows)
+
+
 def test_automaton():
     rng = random.Random(5)
     for _ in range(50):
