@@ -4,7 +4,8 @@ A fingerprint is a ring of eight segments of a byte. If two differ in at most th
 ring has cumulative differences of at most l * 3 / 8 after l segments, for every l: none in the first two,
 at most one in the first five. So the first two bytes of that chain and two of the next three agree, which
 gives 24 keys of four bytes; no pair that should be linked is missed. Candidates under a key are then held
-against the chain's longer budgets and the full distance. Only distinct fingerprints are compared, and only a
+against the chain's budgets, segment by segment from the key's start, and a pair is only linked under a key whose chain it
+keeps to the end, where the budget is the full distance. Only distinct fingerprints are compared, and only a
 spanning forest of each key's links goes on, never all of its pairs; keys with more than ``BLOCK``
 fingerprints are dealt out as pairs of blocks.
 """
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import materialise, partitions, small_batches
+from .session import discard, materialise, partitions, small_batches
 
 BITS = 3
 SHINGLE_WORDS = 3
@@ -68,14 +69,30 @@ def _scan(words: int):
     return scan
 
 
-def spanning_links(fps: np.ndarray, ids: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
-    """A spanning forest of the links among fps: breadth first, each step against those not yet reached."""
+def chained(difference: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Whether differences, whose first segment is the highest byte, stay within l * bits / 8 after l segments for all l.
+
+    Longer prefixes are counted only where the shorter ones passed."""
+    near = np.arange(len(difference))
+    for segments in range(1, 9):
+        if segments * bits // 8 < (segments + 1) * bits // 8 or segments == 8:  # the budget of shorter prefixes is no less
+            near = near[np.bitwise_count(difference[near] >> np.uint64(64 - 8 * segments)) <= segments * bits // 8]
+    out = np.zeros(len(difference), bool)
+    out[near] = True
+    return out
+
+
+def spanning_links(fps: np.ndarray, ids: np.ndarray, bits: int = BITS, start: int = 0) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs among fps that keep the chain from a start segment: breadth first, each step against those
+    not yet reached."""
+    turn = np.uint64(8 * start)
+    ring = (fps << turn) | (fps >> (np.uint64(64) - turn)) if start else fps
     links, left = [], np.arange(len(fps))
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= bits
+            near = chained(ring[left] ^ ring[at], bits)
             if near.any():
                 reached = left[near]
                 links += [(int(ids[at]), int(x)) for x in ids[reached]]
@@ -93,7 +110,7 @@ def _linker(bits: int):
             links = []
             for x, y in zip(bounds[:-1], bounds[1:]):
                 if y - x > 1:
-                    links += spanning_links(fp[x:y].view(np.uint64), fp[x:y], bits)
+                    links += spanning_links(fp[x:y].view(np.uint64), fp[x:y], bits, (int(key[x]) >> 40) // len(_MASKS))
             if links:
                 a = np.array(links, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(a.min(1)), pa.array(a.max(1))], names=["a", "b"])
@@ -132,7 +149,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.where("a <> b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        links = materialise(small.where("a <> b").select("a", "b").distinct())
+        links, old = materialise(small.where("a <> b").select("a", "b").distinct()), links
+        discard(old)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
@@ -172,8 +190,13 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = SHINGLE_WORD
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The columns of docs, with one document of each component of near duplicates: that of the smallest id, then text hash."""
+    """The columns of docs, with one document of each component of near duplicates: that of the smallest id, then text hash.
+
+    Null and empty texts are one component with all that is near fingerprint 0. Null ids come last; of rows that agree in id
+    and text one stays. Other columns are carried whole, whatever their names; an empty table gives an empty table.
+    """
     first = near_duplicates(docs).groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "th")).alias("least"))
-    first = first.select(F.expr(f"nullif(least.d, {2**63 - 1})").alias("d_"), F.col("least.th").alias("t_"))
-    rows = docs.withColumn("h_", F.xxhash64("text")).join(first, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h_") == F.col("t_")))
-    return rows.dropDuplicates(["doc_id", "h_"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = first.select("least.d", "least.th")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.coalesce("row.doc_id", F.lit(2**63 - 1)).alias("d"), F.xxhash64("row.text").alias("th"))
+    return rows.join(first, ["d", "th"]).dropDuplicates(["d", "th"]).select("row.*")

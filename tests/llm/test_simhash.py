@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lodestack.llm.simhash import components, fingerprints, near_duplicates, spanning_links
+from lodestack.llm.simhash import chained, components, fingerprints, near_duplicates, spanning_links
 
 
 def fingerprint(text):
@@ -58,12 +58,20 @@ def test_planted_fingerprints(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**64, 40, dtype=np.uint64)
     fps = np.concatenate([base] + [base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for k in (1, 2, 3, 3, 4, 5) for _ in range(3)])
-    links = spanning_links(fps, np.arange(len(fps)))
+    links = [x for start in range(8) for x in spanning_links(fps, np.arange(len(fps)), start=start)]  # a pair keeps the chain from some start
+    assert all(int(fps[a] ^ fps[b]).bit_count() <= 3 for a, b in links)
     root = linked(range(len(fps)), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= 3)
     df = spark.createDataFrame(links, "a bigint, b bigint")
     got = {r.node: r.component for r in components(df).collect()}
     assert {n: got.get(n, n) for n in range(len(fps))} == root
-    assert len(links) == len(fps) - len(set(root.values()))
+
+
+def test_chain_budgets():
+    """A difference passes from a start if and only if every prefix keeps its share of the budget."""
+    rng = random.Random(2)
+    x = [sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(3000)]
+    want = [all((d >> 64 - 8 * n).bit_count() <= n * 3 / 8 for n in range(1, 9)) for d in x]
+    assert chained(np.array(x, np.uint64)).tolist() == want and 0 < sum(want) < len(x)
 
 
 def test_chain_of_links(spark):
