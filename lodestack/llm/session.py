@@ -1,34 +1,15 @@
-"""Settings of the session that the operators read; nothing here is kept between calls."""
+"""Tables that cut lineage, from the package's session module, and the size of Arrow batches."""
 
-import os
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import discard, materialise, partitions, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "lodestack-shared")
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: no lineage, and no single copy on an executor.
-
-    Spark's own checkpoint() is not used, as it keeps rows uncompressed; Parquet also lets later scans prune columns.
-    """
-    path = f"{shared_dir(df.sparkSession)}/lodestack-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "materialise", "partitions", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, so that batches of long texts stay small in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Lowers the session's rows of an Arrow batch to this many, so that batches of long texts stay small in a worker. Spark reads
+    the setting when a plan runs, so it stays lowered; a session that has it lower keeps its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))

@@ -23,6 +23,8 @@ ROWS = [
     (13, f"{PASSAGE} {PASSAGE}", "b", 0),
 ]
 SCHEMA = "doc_id bigint, text string, source string, n_words int"
+#: Names that operators give to columns of their own.
+CLASHES = "d d_ t_ s_ h_ n_ th th_ row key fp root size size_ taken taken_ copy copy_ number nth salt band rest target rate component score".split()
 
 
 @pytest.fixture(scope="session")
@@ -38,3 +40,11 @@ def none(spark):
 @pytest.fixture(scope="session")
 def corpus(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="session")
+def clashing(odd):
+    """Documents that have all those names too."""
+    from pyspark.sql import functions as F
+
+    return odd.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.length("text").cast("bigint").alias("n_chars"), *(F.lit(k).alias(c) for k, c in enumerate(CLASHES)))

@@ -75,3 +75,12 @@ def test_null_and_repeated_ids(spark):
     assert len(least) == 4
     got = sorted((2**63 - 1 if r.doc_id is None else r.doc_id, r.text) for r in C.near_duplicates(spark, docs, SF).collect())
     assert got == sorted(least.values())
+
+
+def test_clashing_names(spark, clashing):
+    """Stages keep columns of any name, with their values."""
+    wanted = clashing.drop("doc_id", "text", "lang", "source", "n_chars").first()
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, clashing, SF)
+        assert out.columns == clashing.columns and out.count() and {r[5:] for r in map(tuple, out.collect())} == {tuple(wanted)}
+    assert C.packing(spark, clashing, SF).count() >= clashing.count()
