@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import small_batches
+from .session import materialise, small_batches
 
 #: Parts in which a host's distinct streams are aligned first.
 PARTS = 16
@@ -31,6 +31,9 @@ PARTS = 16
 GROUP = 16
 #: Different pages that a slot of one text must be on to be furniture; also half of the host's pages.
 TELLING = 3
+#: Bytes of all hosts' roots and places up to which they go to every executor; beyond, pages meet them by host and salt.
+BROADCAST_BYTES = 64 << 20
+SALTS = 32
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg)\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
@@ -344,6 +347,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     """host, wrapper (its regular expression), root, places of its article and of pages without the root, of pages(host, html)."""
     seen = pages.select("host", "html").mapInArrow(_observer, _SEEN).groupBy("host", "kind", "value")
     seen = seen.agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.bit_or("apart").alias("apart"))
+    seen = materialise(seen)  # pages are read once for streams and places
 
     def part(pdf):
         return pd.DataFrame({"host": pdf.host[:1], "kind": "stream", "value": [_merged(pdf.value)], "n": [pdf.n.sum()], "pages": 0, "least": 0, "most": 0, "apart": 0})
@@ -382,5 +386,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession, 500)
     rows = pages.select("page_id", "url", "html", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"))
-    out = rows.join(wrappers(rows), "host").select("page_id", "url", "html", "root", "places")
-    return out.mapInArrow(_extractor, "page_id bigint, url string, text string")
+    found = materialise(wrappers(rows).drop("wrapper"))
+    size = found.agg(F.sum(F.expr("octet_length(host) + octet_length(root) + octet_length(places)"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:  # pages stay where they are
+        out = rows.join(F.broadcast(found), "host")
+    else:  # a host's pages are dealt out over salts, each of which gets the host's wrapper
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.length("html")), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_merge"), ["host", "salt"])
+    return out.select("page_id", "url", "html", "root", "places").mapInArrow(_extractor, "page_id bigint, url string, text string")
