@@ -96,7 +96,10 @@ def statistics(column) -> list[np.ndarray]:
 
 
 def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns named and COUNTS of docs(text): a map over the rows, without a shuffle."""
+    """The columns named and COUNTS of docs(text): a map over the rows, without a shuffle.
+
+    Null and empty texts have counts of 0. Every row gives one, repeated ones too, an empty table none; columns to keep must not
+    have the counts' names."""
 
     def scan(batches):
         for b in batches:
@@ -187,7 +190,10 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, le
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DecisionList:
-    """Learns from at most sample_rows rows of labels(doc_id, quality); only their statistics reach the driver."""
+    """Learns from at most sample_rows rows of labels(doc_id, quality); only their statistics reach the driver.
+
+    Rows with a null id or label are left out; of several labels of one document the lower one holds, and every row of docs with
+    that id counts. Null and empty texts are rows without words. Without labels, or without documents, there are no rules."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     rows = text_statistics(docs.join(F.broadcast(chosen), "doc_id"), "doc_id", "quality")

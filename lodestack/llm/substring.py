@@ -151,7 +151,9 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS, gram:
 def without_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     """The columns of docs, texts without repeated passages; documents of which nothing is left go.
 
-    A column n_chars is counted anew. Texts that lose nothing are not touched.
+    A column n_chars is counted anew. Texts that lose nothing are not touched; null and empty ones lose nothing. Rows of one id
+    never count against each other, null ids come after all others, other columns are carried whatever their names, and an empty
+    table stays empty.
     """
     out = remove_repeated_passages(docs, window, whole=True, carry=True).where("n_removed = 0 or n_removed < n_words")
     return out.select(*[F.col("doc_id") if c == "doc_id" else F.col("kept").alias(c) if c == "text" else F.expr("if(n_removed = 0, row.n_chars, length(kept))").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """doc_id and text with score (0 to 1) and predicted (score >= 0.5)."""
+    """doc_id, score (0 to 1) and predicted (score >= 0.5) of docs(doc_id, text), a row for each, without a shuffle.
+
+    Null and empty texts get the score of a text without known terms; other columns are left out; an empty table stays empty."""
 
     def scan(batches):
         for b in batches:
@@ -184,7 +186,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def flag_toxic(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """All columns of docs with a new last column toxic_score; texts are scored where they are, without a shuffle."""
+    """All columns of docs with a new last column toxic_score (with _ behind while docs has that name); texts are scored where they
+    are, without a shuffle. Null and empty texts get the score of a text without known terms; every row stays, repeated ones and
+    those with null ids too; columns of any name are carried as they are; an empty table stays empty."""
     name = "toxic_score"
     while name in docs.columns:
         name += "_"

@@ -56,3 +56,31 @@ def test_list_is_ordered_and_precise():
     for r in rules.rules:
         covered |= rules.covers(r, x)
     assert rules.rules and (covered & bad).sum() > 0.9 * bad.sum() and (covered & ~bad).sum() < 0.05 * bad.sum()
+
+
+def test_verdict_by_brute_force(spark, corpus):
+    """kept follows from the counts by the rules as they read, one text at a time."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rules = Q.train(docs, labels)
+    assert rules.rules
+    python = {f: compile(re.sub(r"greatest\((\w+), 1\)", r"max(\1, 1)", e), f, "eval") for f, e in Q.FEATURES.items()}
+    out = Q.text_statistics(corpus, "doc_id").withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+    rejected = 0
+    for r in out.withColumn("kept", ~F.col("base_failed") & rules.expression()).collect():
+        x = {f: float(eval(code, {"max": max}, r.asDict())) for f, code in python.items()}
+        bad = any(all(x[f] >= t if at_least else x[f] < t for f, at_least, t in rule) for rule in rules.rules)
+        base = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        assert (r.base_failed, r.kept) == (base, not base and not bad)
+        rejected += bad
+    assert rejected
+
+
+def test_lines_of_equal_polynomials(spark):
+    """Two lines whose fingerprints agree modulo any power of two are no repeats of each other."""
+    line = "a"
+    while len(line) < 1024:
+        line += line.translate({97: "b", 98: "a"})
+    text = line + "\n" + line.translate({97: "b", 98: "a"}) + "\n" + line
+    got = Q.text_statistics(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "doc_id").first()
+    assert got.n_dup_lines == 1 and (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == counts(text)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from lodestack.llm import toxicity as X
 
@@ -36,3 +37,68 @@ def test_odd_rows(odd, none, spark):
         assert X.toxicity(none, labels).count() == 0
     flagged = X.flag_toxic(odd, X.train(odd, some))
     assert flagged.columns == odd.columns + ["toxic_score"] and flagged.count() == odd.count()
+
+
+def strings_of(text):
+    """The terms of a text, as strings: whole words, and their beginnings."""
+    words, word = [], b""
+    for b in (text or "").encode() + b" ":
+        low = b + 32 if 65 <= b <= 90 else b
+        if low >= 128 or chr(low).isalnum():
+            word += bytes([low])
+        else:
+            words += [word] if word else []
+            word = b""
+    return {(0, w) for w in words} | {(1, w[:n]) for w in words for n in X.PREFIXES if len(w) >= n}
+
+
+def test_terms_and_scores_by_brute_force(corpus, odd, spark):
+    """Every text's terms, its margin as a sum over all pairs of them, and the choice of terms, without vectors."""
+    rows = [r.text for r in odd.collect()] + [r.text for r in corpus.limit(60).collect()]
+    row, term = X.hashed_terms(pa.array(rows, pa.string()))
+    name = {}
+    for i, text in enumerate(rows):
+        mine = strings_of(text)
+        assert len(term[row == i]) == len(set(term[row == i])) and len(mine) - 2 <= (row == i).sum() <= len(mine)
+        for n, k in ((len(name), x) for x in mine):
+            name.setdefault(k, n)
+    rng = np.random.default_rng(0)
+    known = np.unique(rng.choice(term, 40))
+    model = X.FactorizationMachine(known, -0.3)
+    model.w, model.v = rng.normal(0, 1, len(known)), rng.normal(0, 1, model.v.shape)
+    got = [r.score for r in X.score(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    for i in range(len(rows)):
+        at = [int(np.flatnonzero(known == t)[0]) for t in term[row == i] if t in known]
+        margin = model.bias + sum(model.w[k] for k in at) + sum(float(model.v[a] @ model.v[b]) for n, a in enumerate(at) for b in at[:n])
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(margin, -35, 35)))) < 1e-9
+
+
+def test_chosen_terms(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.random() < 0.3), sorted({int(t) for t in rng.integers(0, 30, 6)})) for _ in range(200)]
+    rows = [(y, sorted({*ts, 99} if y and k % 3 else set(ts))) for k, (y, ts) in enumerate(rows)]
+    n, hits = len(rows), sum(y for y, _ in rows)
+    want = {}
+    for t in {t for _, ts in rows for t in ts}:
+        df, hit = sum(t in ts for _, ts in rows), sum(y for y, ts in rows if t in ts)
+        phi = (hit - hits * df / n) ** 2 / (hits / n * (1 - hits / n) * df * (1 - df / n)) / n if df < n else 0
+        if df >= X.HELD and phi >= X.TELLING:
+            want[t] = (phi, hit > hits * df / n)
+    got = X.telling_terms(spark.createDataFrame(rows, "toxic int, terms array<int>"), 50)
+    assert dict(got) == {t: s for t, (_, s) in want.items()} and got[0][0] == 99
+    assert [t for t, _ in X.telling_terms(spark.createDataFrame(rows, "toxic int, terms array<int>"), 2)] == [t for t, _ in got[:2]]
+
+
+def test_group_beside_insult(spark):
+    """A name that is as common in clean texts is admitted for what it does beside an insult, and decides."""
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(1500):
+        insult, group = rng.random() < 0.3, rng.random() < 0.4
+        words = [f"filler{k}" for k in rng.integers(0, 60, 12)] + ["blockhead"] * insult + ["islanders"] * group
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(insult and group)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    y = dict(labels)
+    out = X.toxicity(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")).collect()
+    assert np.mean([r.predicted == y[r.doc_id] for r in out]) > 0.99
