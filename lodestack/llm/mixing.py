@@ -19,6 +19,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL = 1.5
 CAP = 2.0
 NEWTON_STEPS = 60
+#: Sources up to which their rows go to every executor (some 100 bytes each); more are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 #: Share of a target that a source's tilted tokens may be off when its multiplier stands.
 TOLERANCE = 1e-11
 #: Ranges that a source's documents of about one size are ranked in, so that no task ranks a whole source.
@@ -68,26 +70,30 @@ def multipliers(sizes: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: fl
     """source, source_size, target, scale, dual of sizes(source, size, n): the dual solution. A document of size s has rate
     min(cap, exp(dual s / scale)); dual is null where every rate is 0 or cap (no target, or one at its stop)."""
     table = targets(sizes, weights, total, cap)
-    scale = sizes.groupBy(F.col("source").alias("source_")).agg(F.sum(F.expr("double(size) * size * n")).alias("squares_"))
-    table = table.join(scale, F.col("source").eqNullSafe(F.col("source_")))
+    scale = sizes.groupBy(F.col("source").alias("source_")).agg(F.sum(F.expr("double(size) * size * n")).alias("squares"))
+    table = materialise(table.join(scale, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").coalesce(8))
     inner = f"target > 0D and target < {cap}D * source_size"
-    state = table.selectExpr("source", "source_size", "target", f"if({inner}, squares_ / source_size, null) as scale", f"if({inner}, 0D, null) as dual", "double(null) as lo", "double(null) as hi")
-    state = materialise(state)
+    settled = table.where(f"not ({inner})").selectExpr("source", "source_size", "target", "double(null) as scale", "double(null) as dual")
+    known = ["source", "source_size", "target", "scale", "dual", "lo", "hi"]
+    state = table.where(inner).selectExpr(*known[:3], "squares / source_size as scale", "0D as dual", "double(null) as lo", "double(null) as hi")
+    few = table.count() <= BROADCAST_SOURCES
     tilt = "exp(dual * size / scale)"
     for _ in range(NEWTON_STEPS):
-        s = state.where("dual is not null").selectExpr("source as source_", "dual", "scale")
-        sums = sizes.join(s, F.col("source").eqNullSafe(F.col("source_"))).groupBy("source_").agg(
-            F.sum(F.expr(f"size * n * least({cap}D, {tilt})")).alias("taken_"),
+        rows = state.withColumnRenamed("source", "source_")
+        rows = sizes.join(F.broadcast(rows) if few else rows, F.col("source").eqNullSafe(F.col("source_"))).drop("source_")
+        sums = rows.groupBy(*known).agg(
+            F.sum(F.expr(f"size * n * least({cap}D, {tilt})")).alias("tokens"),
             F.sum(F.expr(f"if({tilt} < {cap}D, size * n * (size / scale) * {tilt}, 0D)")).alias("h"),
         )
-        both = state.join(sums, F.col("source").eqNullSafe(F.col("source_")), "left").selectExpr("*", "taken_ - target as g")
         lo, hi, step = _next()
-        after = materialise(both.selectExpr("source", "source_size", "target", "scale", f"{step} as dual", f"{lo} as lo", f"{hi} as hi", f"coalesce(abs(g) > {TOLERANCE:.0e} * target, false) as open_"))
+        sums = sums.selectExpr("*", "tokens - target as g").selectExpr(*known[:4], f"{step} as dual", f"{lo} as lo", f"{hi} as hi", f"abs(g) > {TOLERANCE:.0e} * target as open")
+        after = materialise(sums.coalesce(8))  # a row for each source
         discard(state)
-        state = after
-        if not state.where("open_").limit(1).count():
+        state = after.select(*known)
+        state.lodestack_path = after.lodestack_path
+        if not after.agg(F.max("open")).first()[0]:
             break
-    return state.select("source", "source_size", "target", "scale", "dual")
+    return state.select(*known[:5]).unionByName(settled)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
@@ -100,7 +106,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP
     and sources are ordinary; documents without words give nothing; an empty table gives an empty table.
     """
     docs = materialise(docs.select("doc_id", "source", "size", "key"))
-    sizes = materialise(docs.groupBy("source", "size").agg(F.count("*").alias("n")))
+    sizes = docs.groupBy("source", "size").agg(F.count("*").alias("n"))
+    sizes = materialise(sizes.coalesce(64))  # each Newton step reads it
     table = multipliers(sizes, weights, total, cap).withColumnRenamed("source", "source_")
     rate = f"case when target <= 0D then 0D when dual is null then {cap}D else least({cap}D, exp(dual * size / scale)) end"
     ranked = docs.join(table, F.col("source").eqNullSafe(F.col("source_")))
