@@ -5,7 +5,7 @@ the table is filed under its leaf. A query walks the tree through a priority que
 centroid first, and visits leaves in the order in which they come up. How many it visits is calibrated: the
 number widens until a bounded set of calibration queries, held against all vectors, reaches the wanted recall;
 a query goes on beyond it until its leaves hold as many candidates as it asks for.
-Leaves larger than a block are dealt out in blocks, each of which sees the queries that visit the leaf.
+A leaf is dealt out in blocks of vectors and of the queries that visit it, so no task sees a whole large leaf.
 """
 
 import heapq
@@ -28,6 +28,8 @@ RECALL = 0.97
 NEIGHBOURS = 10
 #: Vectors of a leaf that one task searches at once.
 BLOCK_ROWS = 8192
+#: Queries of a leaf that one task answers at once.
+BLOCK_QUERIES = 4096
 
 
 class Tree:
@@ -186,25 +188,25 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOU
     visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
 
     sizes = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row for each leaf of the bounded tree
-    blocks = {leaf: -(-n // BLOCK_ROWS) for leaf, n in sizes.items()}
 
     def visit(batches):
         for b in batches:
             ids, x, own = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
-            index, leaf, block = [], [], []
+            index, leaf = [], []
             for i, q in enumerate(x):
-                for node in tree.visits(q, visits, sizes, k + int(own[i])):  # its own rows are no candidates
-                    for c in range(blocks.get(node, 0)):
-                        index.append(i)
-                        leaf.append(node)
-                        block.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(block, pa.int64()), pa.array(ids[index] if index else [], pa.int64()), b.column(1).take(pa.array(index, pa.int64()))], names=["leaf", "block", "query_id", "embedding"])
+                found = [node for node in tree.visits(q, visits, sizes, k + int(own[i])) if node in sizes]  # its own rows are no candidates
+                index += [i] * len(found)
+                leaf += found
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(ids[index] if index else [], pa.int64()), b.column(1).take(pa.array(index, pa.int64()))], names=["leaf", "query_id", "embedding"])
 
     own = rows.join(asked.select("vec_id"), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("own"))
-    visiting = asked.join(own, "vec_id").select("vec_id", "embedding", "own").mapInArrow(visit, "leaf bigint, block bigint, query_id bigint, embedding array<double>")
-    split = F.create_map(*[F.lit(x) for leaf, n in blocks.items() if n > 1 for x in (leaf, n)]) if any(n > 1 for n in blocks.values()) else None
-    parts = F.coalesce(split[F.col("leaf")], F.lit(1)) if split is not None else F.lit(1)
-    dealt = filed.withColumn("block", F.pmod(F.xxhash64("vec_id"), parts).cast("bigint"))
+    visiting = materialise(asked.join(own, "vec_id").select("vec_id", "embedding", "own").mapInArrow(visit, "leaf bigint, query_id bigint, embedding array<double>"))
+    # A leaf's vectors and its queries are both dealt out in blocks; every block of one meets every block of the other.
+    asking = {r.leaf: r["count"] for r in visiting.groupBy("leaf").count().collect()}  # a row for each leaf
+    plan = spark.createDataFrame([(leaf, -(-sizes[leaf] // BLOCK_ROWS), -(-q // BLOCK_QUERIES)) for leaf, q in asking.items()], "leaf bigint, blocks int, turns int")
+    plan = F.broadcast(plan)
+    dealt = filed.join(plan, "leaf").select("leaf", F.expr("cast(pmod(xxhash64(vec_id), blocks) as int)").alias("block"), F.expr("explode(sequence(0, turns - 1))").alias("turn"), "vec_id", "embedding")
+    visiting = visiting.join(plan, "leaf").select("leaf", F.expr("explode(sequence(0, blocks - 1))").alias("block"), F.expr("cast(pmod(xxhash64(query_id), turns) as int)").alias("turn"), "query_id", "embedding")
     n = partitions(spark)
 
     def search(left, right):
@@ -214,5 +216,6 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOU
             out = best(_matrix(q["embedding"].chunk(0)), q["query_id"].to_numpy(), _matrix(x["embedding"].chunk(0)), x["vec_id"].to_numpy(), k)
         return pa.Table.from_pylist([dict(zip(("query_id", "vec_id", "score"), r)) for r in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
-    pairs = dealt.repartition(n, "leaf", "block").groupBy("leaf", "block").cogroup(visiting.repartition(n, "leaf", "block").groupBy("leaf", "block")).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+    part = ["leaf", "block", "turn"]
+    pairs = dealt.repartition(n, *part).groupBy(*part).cogroup(visiting.repartition(n, *part).groupBy(*part)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
     return _top(pairs, k)

@@ -34,6 +34,7 @@ def test_recall_and_scores(spark):
 
 def test_blocks_and_ties(spark, monkeypatch):
     monkeypatch.setattr(A, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(A, "BLOCK_QUERIES", 1)
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=4).tolist()) for i in range(300)] + [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(300, 600)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
