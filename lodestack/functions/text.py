@@ -38,6 +38,21 @@ def _folding() -> tuple[str, str, dict[str, str]]:
 _FROM, _TO, LONGER = _folding()
 
 
+def _ranges(characters, gap: int = 48) -> str:
+    """A regular expression's class of these characters and those between near ones: few ranges are quick to test."""
+    out, codes = [], sorted(map(ord, characters))
+    for n in codes:
+        if out and n - out[-1][1] <= gap:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+#: Texts with none of these need no more than the two characters that fold otherwise in common languages.
+_RARE = f"[{_ranges(set(_FROM) - {'ς'} | set(LONGER) - {'ß'})}]"
+
+
 def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -48,7 +63,7 @@ def fold(text: Column | str) -> Column:
     full = F.translate(low, _FROM, _TO)
     for c, image in LONGER.items():
         full = F.replace(full, F.lit(c), F.lit(image))
-    rare = low.rlike("[" + "".join(sorted(set(_FROM) - {"ς"} | set(LONGER) - {"ß"})) + "]")
+    rare = low.rlike(_RARE)
     common = F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
     return F.when(low.rlike("[^\\x00-\\x7F]"), F.when(rare, full).otherwise(common)).otherwise(low)
 
