@@ -146,3 +146,22 @@ def test_all_chunks_are_judged():
     column = pa.chunked_array([pa.array(values[:2], pa.binary()), pa.array([], pa.binary()), pa.array([b"x", *values[2:]], pa.binary()).slice(1)])
     symbols, bounds = joined_symbols(column)
     assert [symbols[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])] == values and bounds.dtype == np.int64
+
+
+def test_fetching_holds_little():
+    """Segments are fetched from many texts without fingerprints of more than about a megabyte at once."""
+    import pyarrow as pa
+
+    from lodestack.llm import kernels as K
+    from lodestack.llm.repeats import Spec, _fetcher, document_symbols
+
+    texts = [f"{i} " + "ab cd ef gh " * 8000 for i in range(30)] + [None, ""]
+    wanted = [[{"bucket": i, "at": 3 << 32 | 2, "judged": True}] if t else [] for i, t in enumerate(texts)]
+    kind = pa.list_(pa.struct([("bucket", pa.int64()), ("at", pa.int64()), ("judged", pa.bool_())]))
+    n = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([n, n, pa.array(texts), pa.array(wanted, kind)], names=["doc", "th", "text", "wanted"])
+    K.worker_cache().pop("powers", None)
+    got = pa.Table.from_batches(_fetcher(Spec(words=True, length=13, gram=4, earlier=True, judge=None))([batch])).to_pylist()
+    assert len(K.worker_cache()["powers"][0][0]) <= (1 << 20) + 1
+    alone = [document_symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), True)[0] for t in texts if t]
+    assert [(r["bucket"], r["symbols"]) for r in got] == [(i, x[3:17].tobytes()) for i, x in enumerate(alone)]
