@@ -146,6 +146,30 @@ def test_intersections(spark):
     assert {(r.query_id, r.doc_id) for r in got} == want and len(got) == len(want) and all(r.cluster_id == r.doc_id % 6 for r in got)
 
 
+def test_intersections_by_blocks(spark, monkeypatch):
+    """Many blocks, bits and short lists, queries of any number of terms: what is shuffled doesn't follow the candidates."""
+    from lodestack.operators import blocks as B
+
+    monkeypatch.setattr(B, "BLOCK_POSTINGS", 2500)
+    rng = random.Random(5)
+    lists = [sorted(rng.sample(range(3000), n)) for n in (2900, 2500, 1500, 700, 90, 40, 5, 1)] + [[]]
+    index = index_of(spark, lists)
+    asked = [(i * 100 + j, x) for i in range(9) for j in range(9) for x in (i, j)] + [(1000, t) for t in (0, 1, 2)] + [(1001, t) for t in (0, 1, 4)] + [(1002, None), (1002, 0), (1003, 55)]
+    want = {}
+    for q in {q for q, _ in asked}:
+        terms = [t for p, t in asked if p == q]
+        found = set.intersection(*(set(lists[t]) if t is not None and t < 9 else set() for t in terms))
+        if found:
+            want[q] = sorted(found)
+    terms = spark.createDataFrame(asked, "query_id bigint, token_id bigint")
+    got = J.search(index, terms).collect()
+    assert sorted((r.query_id, r.doc_id) for r in got) == sorted((q, d) for q, ds in want.items() for d in ds)
+    assert {r.query_id: r.n for r in J.search_counts(index, terms).collect()} == {q: len(ds) for q, ds in want.items()}
+    assert {r.query_id: r.doc_ids for r in J.search_lists(index, terms).collect()} == {q: ",".join(map(str, ds)) for q, ds in want.items()}
+    named = J.search(index, terms.withColumn("query_id", F.format_string("q%d", "query_id")))
+    assert sorted((r.query_id, r.doc_id) for r in named.collect()) == sorted((f"q{q}", d) for q, ds in want.items() for d in ds)
+
+
 QUERIES = [(1, "cat dog"), (2, "the"), (3, ""), (4, None), (5, "cat unicorn"), (6, "dog dog"), (7, "cat dog bird fish"), (8, "fish bird")]
 
 
