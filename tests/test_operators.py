@@ -335,6 +335,25 @@ def test_scores(spark):
         assert got == naive_scores(docs, w, assigned, 4, exact)
 
 
+def test_scores_by_blocks(spark, monkeypatch):
+    """Many blocks, terms without a centre, documents without terms: as plain Python and as the joins say."""
+    from lodestack.operators import blocks as B
+
+    monkeypatch.setattr(B, "BLOCK_POSTINGS", 60)
+    monkeypatch.setattr(B, "RUN", 4)
+    docs, w = corpus(200, 40, 9)
+    words, postings, weights = tables(spark, docs, w)
+    assert B.dealt(postings)[0] > 5
+    assigned = {d: d % 3 for d in docs if d < 20}
+    center_rows = fmf.centers(postings, spark.createDataFrame(list(assigned.items()), "doc_id bigint, cluster_id bigint"))
+    rows = words.withColumn("idx", F.col("doc_id"))
+    for exact, f in ((False, fmf.scores), (True, fmf.exact_scores)):
+        got = {(r.doc_id, r.cluster_id): r.score for r in f(rows, postings, center_rows, weights, 5).collect()}
+        assert got == naive_scores(docs, w, assigned, 5, exact)
+        joined = {(r.doc_id, r.cluster_id): int(r.score) for r in f(rows, postings, center_rows, weights, 5, "decimal(38,0)").collect()}
+        assert got == joined
+
+
 def test_rounds_agree(spark):
     """Arrays in one task, joins, and plain Python give one assignment."""
     docs, w = corpus(40, 15)
