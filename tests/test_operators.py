@@ -277,6 +277,13 @@ def test_codes(spark):
             assert got[f"hybrid_{size}"] == want
 
 
+def test_codes_stay(spark):
+    """Gaps are coded where their lists are: one shuffle for all codes, in tasks of bounded rows."""
+    index = index_of(spark, [[1, 5, 6], [2], list(range(0, 300, 3))])
+    plan = Z.code_sizes(Z.gaps(index))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 # Clustering by term frequencies
 
 
