@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,11 +48,29 @@ def sentences(docs: DataFrame) -> DataFrame:
     return rows.where(T.longer_than(T.words("text"), 1))
 
 
+#: Bytes of content that a record reader unpacks at once.
+SLICE = 16_000_000
+
+
+def _slices(batches):
+    """The batches of (file, content) in slices of bounded content: a batch is bounded in rows only."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(1)).fill_null(0).to_numpy(zero_copy_only=False).tolist()
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held + n > SLICE and i > start:
+                yield b.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < len(b):
+            yield b.slice(start)
+
+
 def inflated(files: DataFrame) -> DataFrame:
     """file, content with gzip undone (several members too); content that is no gzip becomes null."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for content in b.column(1).to_pylist():
                 try:
@@ -76,7 +95,7 @@ def length_delimited(files: DataFrame) -> DataFrame:
     has no documents at all."""
 
     def run(batches):
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for file, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found, at, content = [], 0, content or b""

@@ -104,3 +104,14 @@ def test_stream(spark, tmp_path):
         answer(query_lines(spark, str(lines)), c.dictionary, c.postings, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     got = [(r.raw, r.status, r.n_docs, r.first_docs) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == [("", "empty or only stop words", 0, []), ("cat dog", "ok", 1, [0]), ("dog", "ok", 2, [0, 1]), ("dog", "ok", 2, [0, 1]), ("unicorn", "unknown terms", 0, [])]
+
+
+def test_slices(monkeypatch):
+    """A batch is unpacked in slices of bounded bytes, in order and whole."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(files, "SLICE", 10)
+    content = [b"1234", b"12345", None, b"123456789012", b"", b"1"]
+    batch = pa.RecordBatch.from_arrays([pa.array(list("abcdef")), pa.array(content, pa.binary())], names=["file", "content"])
+    got = [s.column(1).to_pylist() for s in files._slices([batch])]
+    assert [x for s in got for x in s] == content and all(len(s) == 1 or sum(len(x or b"") for x in s) <= 10 for s in got) and len(got) == 3
